@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsrisk.constants import CAUSES
 from opsrisk.functions.calendar import is_summer, is_winter_holiday, month_index, years_since_base
 from opsrisk.functions.rates import clipped_ratio, null_skipping_total, safe_share
-from opsrisk.operators.joins import attach_group_values, group_means
+from opsrisk.operators.joins import attach_group_values, group_sums
 from opsrisk.schemas import CLEAN_COLUMNS
+from opsrisk.session import checkpointed
 
 
 def add_row_features(cleaned: DataFrame) -> DataFrame:
@@ -31,17 +32,22 @@ def add_row_features(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def _mean() -> F.Column:
+def _mean() -> Column:
     return F.try_divide(F.col("value_sum"), F.col("value_rows"))
 
 
 def add_group_averages(cleaned: DataFrame) -> DataFrame:
-    """Mean delay rate of the row's airport and of its carrier, over all rows."""
+    """Mean delay rate of the row's airport and of its carrier, over all rows.
+
+    One pass reduces the rows to airport-carrier pairs; both averages come from those.
+    """
+    pairs = checkpointed(group_sums(cleaned, ["airport", "carrier"], "delay_rate"))
     out = cleaned
     for key in ("airport", "carrier"):
-        means = group_means(cleaned, [key], "delay_rate").select(
-            key, _mean().alias(f"{key}_avg_delay_rate"), "value_rows"
+        sums = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            F.sum("value_sum").alias("value_sum"), F.sum("value_rows").alias("value_rows")
         )
+        means = sums.select(key, _mean().alias(f"{key}_avg_delay_rate"), "value_rows")
         out = attach_group_values(out, means, [key], "value_rows")
     return out
 
@@ -66,11 +72,10 @@ def prior_month_means(cleaned: DataFrame, key: str) -> DataFrame:
     Rows are first reduced to one per key and month, so the running sum works on
     as many rows as there are months.
     """
-    monthly = group_means(
-        cleaned.withColumn("month_idx", month_index(F.col("year"), F.col("month"))),
-        [key, "month_idx"],
-        "delay_rate",
+    dated = cleaned.filter(F.col(key).isNotNull()).withColumn(
+        "month_idx", month_index(F.col("year"), F.col("month"))
     )
+    monthly = group_sums(dated, [key, "month_idx"], "delay_rate")
     before = Window.partitionBy(key).orderBy("month_idx").rangeBetween(Window.unboundedPreceding, -1)
     return monthly.select(
         key,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +40,6 @@ def attach_group_values(
     return hot_rows.unionByName(other_rows.join(values, keys, "left"))
 
 
-def group_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def group_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Sum and count of a value per key combination, combined before the shuffle."""
-    return (
-        rows.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
-        .groupBy(*keys)
-        .agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_rows"))
-    )
+    return rows.groupBy(*keys).agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_rows"))
