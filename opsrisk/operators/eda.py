@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsrisk.constants import (
@@ -16,13 +16,6 @@ from opsrisk.constants import (
 from opsrisk.functions.calendar import is_peak_month, month_label
 from opsrisk.operators.ordered import exact_quantiles
 
-DIGITS = 6
-
-
-def _rounded(column: Column) -> Column:
-    return F.round(column, DIGITS)
-
-
 def delay_profile(rows: DataFrame) -> DataFrame:
     """Rows, carriers, airports, year range and mean rate.
 
@@ -42,7 +35,7 @@ def delay_profile(rows: DataFrame) -> DataFrame:
         F.count_distinct("airport").alias("airports"),
         F.min("first").alias("first_year"),
         F.max("last").alias("last_year"),
-        _rounded(F.try_divide(F.sum("rate_sum"), F.sum("rate_rows"))).alias("mean_delay_rate"),
+        F.try_divide(F.sum("rate_sum"), F.sum("rate_rows")).alias("mean_delay_rate"),
     )
 
 
@@ -58,7 +51,7 @@ def delay_describe(rows: DataFrame) -> DataFrame:
     quartiles = exact_quantiles(rows, "delay_rate", {"25%": 0.25, "50%": 0.5, "75%": 0.75}).unpivot(
         [], ["`25%`", "`50%`", "`75%`"], "statistic", "value"
     )
-    return moments.unionByName(quartiles).withColumn("value", _rounded(F.col("value")))
+    return moments.unionByName(quartiles)
 
 
 def delay_histogram(rows: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -70,8 +63,10 @@ def delay_histogram(rows: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     found = rows.agg(F.min("delay_rate").alias("low"), F.max("delay_rate").alias("high"))
     # a single value gets a range of width one around it
     spread = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
-    low = found.select(F.col("low") - spread).scalar()
-    high = found.select(F.col("high") + spread).scalar()
+    ends = found.select(
+        F.struct((F.col("low") - spread).alias("low"), (F.col("high") + spread).alias("high"))
+    ).scalar()
+    low, high = ends["low"], ends["high"]
 
     ranged = (
         rows.filter(F.col("delay_rate").isNotNull())
@@ -99,8 +94,8 @@ def delay_histogram(rows: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         every_bin.join(counted, "bin", "left")
         .select(
             "bin",
-            _rounded(low + F.col("bin") * width).alias("bin_start"),
-            _rounded(low + (F.col("bin") + 1) * width).alias("bin_end"),
+            (low + F.col("bin") * width).alias("bin_start"),
+            (low + (F.col("bin") + 1) * width).alias("bin_end"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
@@ -110,8 +105,8 @@ def delay_by_month(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("month")
         .agg(
-            _rounded(F.avg("delay_rate")).alias("mean_rate"),
-            _rounded(F.stddev_samp("delay_rate")).alias("std_rate"),
+            F.avg("delay_rate").alias("mean_rate"),
+            F.stddev_samp("delay_rate").alias("std_rate"),
         )
         .select(
             "month",
@@ -130,10 +125,11 @@ def delay_by_carrier(rows: DataFrame, min_rows: int = MIN_CARRIER_ROWS) -> DataF
     The comparison mean is that of the kept carriers, each counted once; the
     mean over all rows stands next to it.
     """
-    stats = rows.groupBy("carrier", "carrier_name").agg(
-        F.avg("delay_rate").alias("mean_rate"),
-        F.count("delay_rate").alias("n"),
-        F.sum("delay_rate").alias("rate_sum"),
+    # all three uses read the same sums and counts, so Spark computes them once
+    stats = (
+        rows.groupBy("carrier", "carrier_name")
+        .agg(F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("n"))
+        .withColumn("mean_rate", F.try_divide("rate_sum", "n"))
     )
     kept = stats.filter(F.col("n") >= min_rows)
     mean_of_kept = kept.agg(F.avg("mean_rate")).scalar()
@@ -141,10 +137,10 @@ def delay_by_carrier(rows: DataFrame, min_rows: int = MIN_CARRIER_ROWS) -> DataF
     return kept.select(
         "carrier",
         "carrier_name",
-        _rounded(F.col("mean_rate")).alias("mean_rate"),
+        "mean_rate",
         "n",
         (F.col("mean_rate") > mean_of_kept).alias("above_average"),
-        _rounded(overall).alias("overall_mean"),
+        overall.alias("overall_mean"),
     ).orderBy("mean_rate", "carrier")
 
 
@@ -156,11 +152,11 @@ def delay_by_year(rows: DataFrame, annotated_year: int = ANNOTATED_YEAR) -> Data
     )
     return stats.select(
         "year",
-        _rounded(F.col("mean")).alias("mean_rate"),
-        _rounded(F.col("std")).alias("std_rate"),
+        F.col("mean").alias("mean_rate"),
+        F.col("std").alias("std_rate"),
         "n",
-        _rounded(F.col("mean") - F.col("std")).alias("lower"),
-        _rounded(F.col("mean") + F.col("std")).alias("upper"),
+        (F.col("mean") - F.col("std")).alias("lower"),
+        (F.col("mean") + F.col("std")).alias("upper"),
         (F.col("year") == annotated_year).alias("annotated"),
     ).orderBy("year")
 
@@ -181,8 +177,8 @@ def delay_causes(featured: DataFrame) -> DataFrame:
         means.select(total.alias("total"), F.posexplode(entries).alias("pos", "entry"))
         .select(
             F.col("entry.cause").alias("cause"),
-            _rounded(F.col("entry.mean")).alias("mean_share"),
-            _rounded(F.try_divide(F.col("entry.mean") * 100, F.col("total"))).alias("composition_pct"),
+            F.col("entry.mean").alias("mean_share"),
+            F.try_divide(F.col("entry.mean") * 100, F.col("total")).alias("composition_pct"),
             (F.col("pos") + 1).alias("rank"),
         )
     )
@@ -211,7 +207,7 @@ def delay_heatmap(rows: DataFrame, top: int = TOP_CARRIERS) -> DataFrame:
     counts the rows the ranking needs.
     """
     by_month = [
-        _rounded(F.avg(F.when(F.col("month") == number, F.col("delay_rate")))).alias(label)
+        F.avg(F.when(F.col("month") == number, F.col("delay_rate"))).alias(label)
         for number, label in enumerate(MONTH_LABELS, start=1)
     ]
     return (
@@ -248,8 +244,8 @@ def delay_extremes(rows: DataFrame) -> DataFrame:
         .groupBy("dimension")
         .agg(
             F.min_by("name", highest).alias("highest"),
-            _rounded(F.max("mean")).alias("highest_mean"),
+            F.max("mean").alias("highest_mean"),
             F.min_by("name", lowest).alias("lowest"),
-            _rounded(F.min("mean")).alias("lowest_mean"),
+            F.min("mean").alias("lowest_mean"),
         )
     )

@@ -61,9 +61,9 @@ def classification_report(rows: DataFrame, label: str = "label", prediction: str
         *(
             F.struct(
                 F.lit(name).alias("row_label"),
-                F.round(precision, 6).alias("precision"),
-                F.round(recall, 6).alias("recall"),
-                F.round(f1, 6).alias("f1_score"),
+                precision.alias("precision"),
+                recall.alias("recall"),
+                f1.alias("f1_score"),
                 support.cast("bigint").alias("support"),
             )
             for name, precision, recall, f1, support in report
@@ -88,7 +88,7 @@ def roc_auc(
     ranked = cumulative_counts(flagged, "score", ["pos", "neg"], digits)
     won = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5)
     pairs = F.max("pos_total").cast("double") * F.max("neg_total")
-    return ranked.agg(F.round(F.try_divide(F.sum(won), pairs), 6).alias("roc_auc"))
+    return ranked.agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))
 
 
 def forecast_metrics(rows: DataFrame, by: str = "series_key") -> DataFrame:

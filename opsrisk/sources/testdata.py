@@ -22,14 +22,28 @@ from opsrisk.functions.display import status_of
 # ship years 1995..2001 become 2014..2020, inside the range requests may have
 YEAR_SHIFT = 19
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# stated, so that no file has to be opened to plan a query
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
-def _count_where(reported: Column, condition: Column) -> Column:
-    """Count of reported rows that meet a condition; null when nothing was reported."""
-    return F.sum(F.when(reported, F.when(condition, 1.0).otherwise(0.0)))
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def monthly_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,56 +51,46 @@ def monthly_raw(spark: SparkSession, folder: str) -> DataFrame:
 
     Open line items count as not reported and untaxed ones as not flown, so
     cells without activity, cells with zero flights, missing measures and more
-    delays than flights all occur.
+    delays than flights all occur. A sum over no reported row is null.
     """
-    lines = table(spark, folder, "lineitem")
-    parts = table(spark, folder, "part").select("p_partkey", "p_brand")
-    sites = (
-        table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-        .join(
-            table(spark, folder, "nation").select("n_nationkey", "n_regionkey"),
-            F.col("s_nationkey") == F.col("n_nationkey"),
-        )
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "r_name")
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_partkey",
+        "l_suppkey",
+        f"year(l_shipdate) + {YEAR_SHIFT} AS year",
+        "month(l_shipdate) AS month",
+        "l_linestatus = 'F' AS reported",
+        "l_linestatus = 'F' AND l_quantity > 40 AS delayed",
+        "l_linenumber AS cause",
+        "l_returnflag",
+        "double(l_tax > 0) AS flown",
+        "double(l_quantity > 40) AS late",
+        "double(l_discount >= 0.09D) AS cancelled",
+        "double(l_tax >= 0.08D) AS diverted",
     )
-    reported = F.col("l_linestatus") == "F"
-    delayed = reported & (F.col("l_quantity") > 40)
-
-    def cause(*numbers: int) -> Column:
-        return F.sum(F.when(delayed & F.col("l_linenumber").isin(*numbers), 1.0))
-
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            (F.year("l_shipdate") + YEAR_SHIFT).alias("year"),
-            F.month("l_shipdate").alias("month"),
-            F.col("p_brand").alias("carrier"),
-            F.col("r_name").alias("airport"),
-        )
+        lines.join(table(spark, folder, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, folder, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
+        .groupBy("year", "month", "p_brand", "r_name")
         .agg(
-            _count_where(reported, F.col("l_tax") > 0).alias("arr_flights"),
-            _count_where(reported, F.col("l_quantity") > 40).alias("arr_del15"),
-            cause(1, 2).alias("carrier_ct"),
-            cause(3).alias("weather_ct"),
-            cause(4, 5).alias("nas_ct"),
-            cause(6).alias("security_ct"),
-            cause(7).alias("late_aircraft_ct"),
-            _count_where(reported & (F.col("l_returnflag") == "R"), F.col("l_discount") >= 0.09).alias(
-                "arr_cancelled"
-            ),
-            _count_where(reported & (F.col("l_returnflag") == "A"), F.col("l_tax") >= 0.08).alias(
-                "arr_diverted"
-            ),
+            F.expr("sum(flown) FILTER (WHERE reported) AS arr_flights"),
+            F.expr("sum(late) FILTER (WHERE reported) AS arr_del15"),
+            F.expr("sum(1D) FILTER (WHERE delayed AND cause IN (1, 2)) AS carrier_ct"),
+            F.expr("sum(1D) FILTER (WHERE delayed AND cause = 3) AS weather_ct"),
+            F.expr("sum(1D) FILTER (WHERE delayed AND cause IN (4, 5)) AS nas_ct"),
+            F.expr("sum(1D) FILTER (WHERE delayed AND cause = 6) AS security_ct"),
+            F.expr("sum(1D) FILTER (WHERE delayed AND cause = 7) AS late_aircraft_ct"),
+            F.expr("sum(cancelled) FILTER (WHERE reported AND l_returnflag = 'R') AS arr_cancelled"),
+            F.expr("sum(diverted) FILTER (WHERE reported AND l_returnflag = 'A') AS arr_diverted"),
         )
-        .select(
+        .selectExpr(
             "year",
             "month",
-            "carrier",
-            F.concat(F.lit("Carrier "), "carrier").alias("carrier_name"),
-            "airport",
-            F.concat("airport", F.lit(" Hub")).alias("airport_name"),
+            "p_brand AS carrier",
+            "concat('Carrier ', p_brand) AS carrier_name",
+            "r_name AS airport",
+            "concat(r_name, ' Hub') AS airport_name",
             "arr_flights",
             "arr_del15",
             "carrier_ct",
