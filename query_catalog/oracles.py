@@ -1,11 +1,14 @@
 """SQL oracles, written for DuckDB independently of the Spark code.
 
 Each text starts from the driver's views. Shared inputs are common table
-expressions that are put in front of the query that names them.
+expressions that are put in front of the query that names them; a text that
+starts with a comma adds further ones of its own.
 """
 
 from __future__ import annotations
 
+from opsrisk.schemas import SEED_ROWS
+
 SHARED: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 # which shared inputs an input itself needs
@@ -40,7 +43,12 @@ def oracle(key: str, text: str, needs: list[str] | None = None) -> None:
     for n in needs or []:
         visit(n)
     head = ",\n".join(f"{n} AS ({SHARED[n]})" for n in order)
-    ORACLES[key] = _expand_rounding(f"WITH {head}\n{text}" if head else text)
+    text = text.strip()
+    if head:
+        text = f"WITH {head}\n{text}"
+    elif text.startswith(","):
+        text = f"WITH {text[1:]}"
+    ORACLES[key] = _expand_rounding(text)
 
 
 # --- inputs -------------------------------------------------------------------
@@ -256,3 +264,252 @@ _AUC = """
 SELECT r6((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE)
        / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0))) AS roc_auc FROM ranked"""
 oracle("roc_auc", _AUC.format(s="s", t="scored"), ["scored"])
+
+# --- requests -----------------------------------------------------------------------
+
+shared("requests", """
+  SELECT event_id AS request_id, (2010 + user_id % 25)::DOUBLE AS year, (event_id % 14)::DOUBLE AS month,
+         floor(value)::DOUBLE AS arr_flights,
+         CASE WHEN event_id % 14 IN (6, 7, 8) THEN 1 ELSE 0 END AS is_summer,
+         CASE WHEN event_id % 14 IN (1, 12) THEN 1 ELSE 0 END AS is_winter_holiday,
+         (user_id % 25 - 3)::DOUBLE AS years_since_2013, value / 100 AS airport_avg_delay_rate,
+         CASE WHEN event_type = 'error' THEN NULL ELSE 0.165 END AS carrier_avg_delay_rate
+  FROM events""")
+
+shared("broken", """
+  SELECT request_id, 1 AS pos, 'year must be >= 2013' AS message FROM requests WHERE year < 2013
+  UNION ALL SELECT request_id, 2, 'year must be <= 2030' FROM requests WHERE year > 2030
+  UNION ALL SELECT request_id, 3, 'month must be between 1 and 12' FROM requests WHERE month NOT BETWEEN 1 AND 12
+  UNION ALL SELECT request_id, 4, 'arr_flights must be >= 1' FROM requests WHERE arr_flights < 1
+  UNION ALL SELECT request_id, 5, 'must be greater than or equal to 0' FROM requests WHERE years_since_2013 < 0
+  UNION ALL SELECT request_id, 6, 'must be less than or equal to 1.0' FROM requests WHERE airport_avg_delay_rate > 1
+  UNION ALL SELECT request_id, 7, 'carrier_avg_delay_rate is required' FROM requests WHERE carrier_avg_delay_rate IS NULL""",
+       ["requests"])
+
+oracle("validate_requests", """
+, m AS (SELECT request_id, string_agg(message, ', ' ORDER BY pos) AS message FROM broken GROUP BY request_id)
+SELECT r.request_id, m.message IS NULL AS is_valid, coalesce(m.message, '') AS message
+FROM requests r LEFT JOIN m ON m.request_id = r.request_id""", ["broken"])
+
+oracle("validation_report", "SELECT message, count(*) AS n FROM broken GROUP BY message", ["broken"])
+
+oracle("quarantined_requests", """
+, m AS (SELECT request_id, string_agg(message, ', ' ORDER BY pos) AS message FROM broken GROUP BY request_id)
+SELECT r.request_id, year, month, arr_flights, m.message FROM requests r JOIN m ON m.request_id = r.request_id""",
+       ["broken"])
+
+oracle("derived_requests", """
+, g AS (SELECT *, (year(ts) - user_id % 9)::DOUBLE AS y, (1 + event_id % 12)::DOUBLE AS m FROM events)
+SELECT event_id AS request_id, y AS year, m AS month,
+       CASE WHEN event_type = 'view' THEN 250 ELSE floor(value) + 1 END::DOUBLE AS arr_flights,
+       CASE WHEN event_type = 'signup' OR m IN (6, 7, 8) THEN 1 ELSE 0 END::DOUBLE AS is_summer,
+       CASE WHEN event_type = 'purchase' OR m IN (12, 1) THEN 1 ELSE 0 END::DOUBLE AS is_winter_holiday,
+       CASE WHEN event_type = 'click' THEN 3 ELSE y - 2013 END::DOUBLE AS years_since_2013,
+       CASE WHEN event_type = 'click' THEN 0.183 ELSE 0.25 END::DOUBLE AS airport_avg_delay_rate,
+       CASE WHEN event_type = 'error' THEN 0.165 ELSE 0.125 END::DOUBLE AS carrier_avg_delay_rate
+FROM g""")
+
+oracle("monitor_requests", """
+SELECT DISTINCT ts::DATE AS day, year(ts)::DOUBLE AS year, month(ts)::DOUBLE AS month, 250::DOUBLE AS arr_flights,
+       CASE WHEN month(ts) IN (6, 7, 8) THEN 1 ELSE 0 END::DOUBLE AS is_summer,
+       CASE WHEN month(ts) IN (12, 1) THEN 1 ELSE 0 END::DOUBLE AS is_winter_holiday,
+       (year(ts) - 2013)::DOUBLE AS years_since_2013, 0.183::DOUBLE AS airport_avg_delay_rate,
+       0.165::DOUBLE AS carrier_avg_delay_rate FROM events""")
+
+# --- history -----------------------------------------------------------------------
+
+shared("past", """
+  SELECT event_id AS id, (p >= 0.5::DOUBLE)::INTEGER AS high_delay_prediction, p AS high_delay_probability,
+         CASE WHEN p >= 0.5::DOUBLE THEN 'disruption_risk' ELSE 'nominal' END AS status,
+         month(ts)::INTEGER AS flight_month, year(ts)::INTEGER AS flight_year, ts AS created_at
+  FROM (SELECT *, round(least(value / 100, 1), 4)::DOUBLE AS p FROM events)""")
+
+_SHOWN = """CASE status WHEN 'disruption_risk' THEN 'High Risk' ELSE 'Nominal' END AS badge,
+       ((round(high_delay_probability * 10000)::BIGINT + 5) // 10) / 10.0::DOUBLE AS probability_pct,
+       flight_year::VARCHAR || '/' || lpad(flight_month::VARCHAR, 2, '0') AS period,
+       high_delay_probability > 0.5::DOUBLE AS bar_high"""
+
+oracle("score_status", """
+SELECT high_delay_prediction AS "highDelayPrediction", high_delay_probability AS "highDelayProbability", status,
+       'v1' AS "modelVersion", created_at AS "predictedAt", id AS "historyId" FROM past""", ["past"])
+oracle("history_recent", f"SELECT *, {_SHOWN} FROM past ORDER BY created_at DESC, id DESC LIMIT 20", ["past"])
+oracle("history_alerts", f"SELECT *, {_SHOWN} FROM past WHERE high_delay_prediction = 1 ORDER BY created_at DESC, id DESC",
+       ["past"])
+oracle("history_between", """SELECT * FROM past
+WHERE created_at >= TIMESTAMP '2024-01-10 00:00:00' AND created_at <= TIMESTAMP '2024-01-12 12:00:00'""", ["past"])
+oracle("status_counts", "SELECT status, count(*) AS n FROM past GROUP BY status", ["past"])
+oracle("dashboard_summary", """
+SELECT count(*) AS total_predictions, count(*) FILTER (high_delay_prediction = 1) AS high_risk_count,
+       count(*) FILTER (high_delay_prediction = 0) AS nominal_count,
+       coalesce(round(100.0::DOUBLE * count(*) FILTER (high_delay_prediction = 1) / nullif(count(*), 0), 2), 0) AS high_risk_percentage,
+       count(*) FILTER (high_delay_prediction = 1) AS active_alerts FROM past""", ["past"])
+
+_SEED_VALUES = ", ".join(str(row) for row in SEED_ROWS)
+oracle("seed_if_empty", f"""
+, seed(year, month, arr_flights, is_summer, is_winter_holiday, years_since_2013, airport_avg_delay_rate, carrier_avg_delay_rate)
+  AS (VALUES {_SEED_VALUES})
+SELECT year::DOUBLE AS year, month::DOUBLE AS month, arr_flights::DOUBLE AS arr_flights, is_summer::DOUBLE AS is_summer,
+       is_winter_holiday::DOUBLE AS is_winter_holiday, years_since_2013::DOUBLE AS years_since_2013,
+       airport_avg_delay_rate::DOUBLE AS airport_avg_delay_rate, carrier_avg_delay_rate::DOUBLE AS carrier_avg_delay_rate
+FROM seed s WHERE NOT EXISTS (SELECT 1 FROM past WHERE flight_year = s.year AND flight_month = s.month)""", ["past"])
+
+# --- scans and alerts ------------------------------------------------------------------
+
+oracle("risk_scan_24h", """
+, w AS (SELECT count(*) AS predictions, count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk FROM past
+        WHERE created_at BETWEEN TIMESTAMP '2024-01-14 06:05:00' AND TIMESTAMP '2024-01-15 06:05:00')
+SELECT 'risk_scan' AS alert_type, 'Daily Risk Scan: High-Risk Detections' AS subject,
+       high_risk || ' high-risk delay predictions detected in the last 24 hours (probability >= 65%). Immediate review recommended.' AS message,
+       TIMESTAMP '2024-01-15 06:05:00' AS event_time, '2024-01-15 06:05:00' AS ref_id, predictions, high_risk
+FROM w WHERE high_risk > 0""", ["past"])
+
+oracle("monitor_alerts", f"""
+, h AS (SELECT *, (round(high_delay_probability * 10000)::BIGINT + 5) // 10 AS tenths FROM past
+        WHERE high_delay_probability >= 0.65::DOUBLE)
+SELECT 'monitoring' AS alert_type, 'Automated Monitoring Alert' AS subject,
+       'AUTOMATED ALERT — Continuous monitoring detected HIGH DELAY RISK for ' || {_MONTHS}[flight_month] || '/' || flight_year
+       || ': probability=' || tenths // 10 || '.' || tenths % 10 || '%. Consider proactive gate reallocation.' AS message,
+       created_at AS event_time, id::VARCHAR AS ref_id FROM h""", ["past"])
+
+oracle("risk_windows_daily", """
+SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
+       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
+FROM (SELECT *, time_bucket(INTERVAL 24 HOUR, created_at, INTERVAL '6 hours 5 minutes') AS b FROM past) GROUP BY b""", ["past"])
+
+oracle("risk_windows_sliding", """
+SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
+       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) - to_hours(6 * k) AS b FROM past, range(4) t(k)) GROUP BY b""", ["past"])
+
+# --- daily series ------------------------------------------------------------------------
+
+shared("daily", """
+  SELECT 'ALL' AS series_key, o_orderdate::DATE AS ds,
+         (sum(round(o_totalprice * 100)::BIGINT) // (800 * count(*)))::BIGINT AS y FROM orders GROUP BY ALL""")
+shared("panel", """
+  SELECT c_mktsegment AS series_key, o_orderdate::DATE AS ds,
+         (sum(round(o_totalprice * 100)::BIGINT) // (800 * count(*)))::BIGINT AS y
+  FROM orders, customer WHERE o_custkey = c_custkey GROUP BY ALL""")
+shared("numbered", """
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ds DESC) AS back FROM panel""", ["panel"])
+shared("train", "SELECT series_key, ds, y FROM numbered WHERE back > 90", ["numbered"])
+shared("held", "SELECT series_key, ds, y FROM numbered WHERE back <= 90", ["numbered"])
+
+
+def _trend_of(rows: str) -> str:
+    return f"""
+  SELECT series_key, max(ds) AS last_ds, arg_max(y, ds) AS last_y,
+         (arg_max(y, ds) - arg_min(y, ds)) / count(*)::DOUBLE AS slope
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ds DESC) AS b FROM {rows}) WHERE b <= 90
+  GROUP BY series_key"""
+
+
+def _carried_on(trend: str, until: str) -> str:
+    return f"""
+  SELECT series_key, d::DATE AS ds,
+         trunc(greatest(5000, last_y + i * slope + [-600, -1400, -900, 300, 2100, 900, 1700][isodow(d)]
+           + CASE WHEN month(d) BETWEEN 6 AND 8 THEN 3500 ELSE 0 END
+           + CASE WHEN month(d) = 12 AND day(d) >= 15 THEN 4200 ELSE 0 END))::BIGINT AS y
+  FROM (SELECT *, last_ds + i::INTEGER AS d FROM {trend}, LATERAL (SELECT unnest(range(1, {until} - last_ds + 1)) AS i))"""
+
+
+shared("trend", _trend_of("panel"), ["panel"])
+shared("extended", "SELECT series_key, ds, y FROM panel UNION ALL" + _carried_on("trend", "DATE '2001-12-31'"), ["trend"])
+shared("train_trend", _trend_of("train"), ["train"])
+shared("guessed", _carried_on(
+    "(SELECT t.*, e.until FROM train_trend t JOIN (SELECT series_key, max(ds) AS until FROM held GROUP BY ALL) e USING (series_key))",
+    "until"), ["train_trend", "held"])
+shared("metrics", """
+  SELECT h.series_key, count(*) AS n, avg(abs(h.y - g.y)) AS mae, avg(abs(h.y - g.y) / h.y::DOUBLE) * 100 AS mape_pct
+  FROM held h JOIN guessed g ON g.series_key = h.series_key AND g.ds = h.ds GROUP BY h.series_key""", ["guessed"])
+
+oracle("traffic_series", "SELECT * FROM daily", ["daily"])
+oracle("traffic_panel", "SELECT * FROM panel", ["panel"])
+oracle("traffic_profile", "SELECT series_key, min(ds) AS date_min, max(ds) AS date_max, count(*) AS n FROM panel GROUP BY ALL",
+       ["panel"])
+oracle("traffic_trend", "SELECT series_key, last_ds, last_y, r6(slope) AS slope FROM trend", ["trend"])
+oracle("traffic_extended", "SELECT * FROM extended", ["extended"])
+oracle("traffic_holdout_split", "SELECT series_key, ds, y, back <= 90 AS is_holdout FROM numbered", ["numbered"])
+oracle("traffic_future_dates", """
+SELECT series_key, (max(ds) + i::INTEGER)::DATE AS ds FROM panel, range(1, 31) t(i) GROUP BY series_key, i""", ["panel"])
+
+# every holiday as a table of dates: n-th weekday of a month by counting, observed days by moving
+shared("holiday_dates", """
+  SELECT * FROM (
+    WITH y AS (SELECT unnest(range(1990, 2031))::INTEGER AS y),
+    d AS (SELECT y, (make_date(y, 1, 1) + i::INTEGER)::DATE AS d FROM y, range(366) t(i) WHERE year(make_date(y, 1, 1) + i::INTEGER) = y),
+    n AS (SELECT *, row_number() OVER (PARTITION BY y, month(d), isodow(d) ORDER BY d) AS nth,
+                 row_number() OVER (PARTITION BY y, month(d), isodow(d) ORDER BY d DESC) AS nth_last FROM d),
+    fixed AS (SELECT y, make_date(y, 1, 1) AS d, 'New Year''s Day' AS name FROM y
+      UNION ALL SELECT y, make_date(y, 6, 19), 'Juneteenth National Independence Day' FROM y WHERE y >= 2021
+      UNION ALL SELECT y, make_date(y, 7, 4), 'Independence Day' FROM y
+      UNION ALL SELECT y, make_date(y, 11, 11), 'Veterans Day' FROM y
+      UNION ALL SELECT y, make_date(y, 12, 25), 'Christmas Day' FROM y)
+    SELECT d, name FROM fixed
+    UNION ALL SELECT (d - 1)::DATE, name || ' (observed)' FROM fixed WHERE isodow(d) = 6
+    UNION ALL SELECT (d + 1)::DATE, name || ' (observed)' FROM fixed WHERE isodow(d) = 7
+    UNION ALL SELECT d, 'Martin Luther King Jr. Day' FROM n WHERE month(d) = 1 AND isodow(d) = 1 AND nth = 3
+    UNION ALL SELECT d, 'Washington''s Birthday' FROM n WHERE month(d) = 2 AND isodow(d) = 1 AND nth = 3
+    UNION ALL SELECT d, 'Memorial Day' FROM n WHERE month(d) = 5 AND isodow(d) = 1 AND nth_last = 1
+    UNION ALL SELECT d, 'Labor Day' FROM n WHERE month(d) = 9 AND isodow(d) = 1 AND nth = 1
+    UNION ALL SELECT d, 'Columbus Day' FROM n WHERE month(d) = 10 AND isodow(d) = 1 AND nth = 2
+    UNION ALL SELECT d, 'Thanksgiving Day' FROM n WHERE month(d) = 11 AND isodow(d) = 4 AND nth = 4)""")
+
+oracle("traffic_holidays", """
+SELECT series_key, ds, name AS holiday FROM daily LEFT JOIN holiday_dates ON d = ds""", ["daily", "holiday_dates"])
+
+_HOLIDAYS = [
+    "New Year's Day", "Juneteenth National Independence Day", "Independence Day", "Veterans Day", "Christmas Day",
+    "Martin Luther King Jr. Day", "Washington's Birthday", "Memorial Day", "Labor Day", "Columbus Day", "Thanksgiving Day",
+]
+_HOLIDAYS += [f"{name} (observed)" for name in _HOLIDAYS[:5]]
+_WAVES = [(n, p, k) for n, p, top in (("yearly", 365.25, 10), ("weekly", 7.0, 3)) for k in range(1, top + 1)]
+_COLUMNS = ["r6(t) AS t"]
+_COLUMNS += [f"r6(greatest(0, t - 0.8::DOUBLE * {i} / 25)) AS bend_{i}" for i in range(1, 26)]
+_COLUMNS += [
+    f"r6({f}(2 * pi() * {k} * e / {p}::DOUBLE)) + 0.0::DOUBLE AS {n}_{f}_{k}" for n, p, k in _WAVES for f in ("sin", "cos")
+]
+_COLUMNS += [
+    "(coalesce(name, '') = '{}')::INTEGER::DOUBLE AS holiday_{}".format(h.replace("'", "''"), i)
+    for i, h in enumerate(_HOLIDAYS, 1)
+]
+oracle("traffic_features", """
+, placed AS (SELECT p.*, h.name, (ds - DATE '1970-01-01')::DOUBLE AS e,
+    (ds - min(ds) OVER (PARTITION BY series_key))::DOUBLE
+      / greatest(1, max(ds) OVER (PARTITION BY series_key) - min(ds) OVER (PARTITION BY series_key)) AS t
+  FROM panel p LEFT JOIN holiday_dates h ON h.d = p.ds)
+SELECT series_key, ds, y,
+       """ + ",\n       ".join(_COLUMNS) + "\nFROM placed", ["panel", "holiday_dates"])
+
+oracle("capacity_alerts", """
+SELECT 'capacity' AS alert_type, 'High Traffic Day Forecast' AS subject,
+       'HIGH TRAFFIC ALERT: ' || ds || ' forecast ' || format('{:,}', y) || ' passengers (exceeds 45,000 capacity threshold)' AS message,
+       ds::TIMESTAMP AS event_time, series_key || '|' || ds AS ref_id FROM panel WHERE y > 45000""", ["panel"])
+
+oracle("forecast_totals", """
+SELECT series_key, sum(y)::BIGINT AS total_footfall, max(y) AS peak_footfall FROM extended GROUP BY series_key""", ["extended"])
+
+oracle("forecast_clamp", """
+, e AS (SELECT o_orderkey::VARCHAR AS series_key, o_orderdate::DATE AS ds, floor(o_totalprice) / 2 AS v FROM orders)
+SELECT series_key, ds, greatest(0, round_even(v - 60000, 0))::BIGINT AS predicted_footfall,
+       greatest(0, round_even(v - 90000, 0))::BIGINT AS lower_bound, greatest(0, round_even(v - 30000, 0))::BIGINT AS upper_bound
+FROM e""")
+
+oracle("forecast_metrics", "SELECT series_key, n, r6(mae) AS mae, r6(mape_pct) AS mape_pct FROM metrics", ["metrics"])
+
+oracle("forecast_display", """
+SELECT series_key, ds, y AS predicted_footfall, y - 1000 AS lower_bound, y + 1000 AS upper_bound,
+       month(ds) || '/' || day(ds) AS chart_date FROM panel""", ["panel"])
+
+oracle("forecast_document", """
+SELECT series_key, count(*)::INTEGER AS forecast_days, min(ds)::VARCHAR AS forecast_from, max(ds)::VARCHAR AS forecast_to,
+       0.0::DOUBLE AS model_mae, 0.0::DOUBLE AS model_mape_pct,
+       '[' || string_agg('{"date":"' || ds || '","predicted_footfall":' || y || ',"lower_bound":' || (y - 1000)
+         || ',"upper_bound":' || (y + 1000) || '}', ',' ORDER BY ds) || ']' AS forecast
+FROM held GROUP BY series_key""", ["held"])
+
+oracle("traffic_meta", """
+SELECT series_key, round(mae, 2) AS mae, round(mape_pct, 4) AS mape_pct, p.n AS train_rows, 90::INTEGER AS holdout_days,
+       date_min, date_max, 'v1' AS model_version, DATE '2001-12-31' AS trained_on
+FROM metrics JOIN (SELECT series_key, count(*) AS n, min(ds) AS date_min, max(ds) AS date_max FROM panel GROUP BY ALL) p USING (series_key)""",
+       ["metrics"])

@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsrisk.operators import cleaning, eda, features, learning_sets, quality
+from opsrisk.constants import MODEL_VERSION
+from opsrisk.operators import (
+    alerts,
+    cleaning,
+    eda,
+    features,
+    forecast,
+    history,
+    learning_sets,
+    quality,
+    series,
+    validation,
+)
 from opsrisk.schemas import CLEAN_COLUMNS
 from opsrisk.session import checkpointed
-from opsrisk.sources import testdata
+from opsrisk.sources import seeds, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +193,257 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(quality.roc_auc(testdata.scored_labels(spark, folder), digits=4))
+
+
+# --- requests --------------------------------------------------------------------------
+
+
+@query
+def validate_requests(spark: SparkSession, folder: str) -> DataFrame:
+    checked = validation.validate(testdata.score_requests(spark, folder))
+    return checked.select(
+        "request_id", "is_valid", F.array_join("violations", ", ").alias("message")
+    )
+
+
+@query
+def validation_report(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.validation_report(validation.validate(testdata.score_requests(spark, folder)))
+
+
+@query
+def quarantined_requests(spark: SparkSession, folder: str) -> DataFrame:
+    rejected = validation.quarantine(validation.validate(testdata.score_requests(spark, folder)))
+    return rejected.select("request_id", "year", "month", "arr_flights", "message")
+
+
+@query
+def derived_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar features left empty for some events and filled from year and month."""
+    gaps = testdata.table(spark, folder, "events").selectExpr(
+        "event_id AS request_id",
+        "double(year(ts) - user_id % 9) AS year",
+        "double(1 + event_id % 12) AS month",
+        "CASE WHEN event_type <> 'view' THEN floor(value) + 1.0D END AS arr_flights",
+        "CASE WHEN event_type = 'signup' THEN 1.0D END AS is_summer",
+        "CASE WHEN event_type = 'purchase' THEN 1.0D END AS is_winter_holiday",
+        "CASE WHEN event_type = 'click' THEN 3.0D END AS years_since_2013",
+        "CASE WHEN event_type <> 'click' THEN 0.25D END AS airport_avg_delay_rate",
+        "CASE WHEN event_type <> 'error' THEN 0.125D END AS carrier_avg_delay_rate",
+    )
+    return validation.derive_features(gaps, defaults=True)
+
+
+@query
+def monitor_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One monitoring request per day that has events."""
+    days = testdata.table(spark, folder, "events").selectExpr("date(ts) AS day").distinct()
+    return validation.monitoring_requests(days, "day")
+
+
+# --- history ---------------------------------------------------------------------------
+
+
+@query
+def score_status(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.to_public_names(testdata.prediction_history(spark, folder))
+
+
+@query
+def history_recent(spark: SparkSession, folder: str) -> DataFrame:
+    return history.with_display(history.history_recent(testdata.prediction_history(spark, folder)))
+
+
+@query
+def history_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return history.with_display(history.history_alerts(testdata.prediction_history(spark, folder)))
+
+
+@query
+def history_between(spark: SparkSession, folder: str) -> DataFrame:
+    return history.history_between(
+        testdata.prediction_history(spark, folder), "2024-01-10 00:00:00", "2024-01-12 12:00:00"
+    )
+
+
+@query
+def status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return history.status_counts(testdata.prediction_history(spark, folder))
+
+
+@query
+def dashboard_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return history.dashboard_summary(testdata.prediction_history(spark, folder))
+
+
+@query
+def seed_if_empty(spark: SparkSession, folder: str) -> DataFrame:
+    seed = seeds.seed_requests(spark)
+    return history.missing_seed_rows(seed, testdata.prediction_history(spark, folder))
+
+
+# --- scans and alerts --------------------------------------------------------------------
+
+SCAN_TIME = "2024-01-15 06:05:00"
+
+
+@query
+def risk_scan_24h(spark: SparkSession, folder: str) -> DataFrame:
+    return alerts.risk_scan(testdata.prediction_history(spark, folder), SCAN_TIME)
+
+
+@query
+def monitor_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return alerts.monitoring_alerts(testdata.prediction_history(spark, folder))
+
+
+@query
+def risk_windows_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return alerts.risk_windows(testdata.prediction_history(spark, folder))
+
+
+@query
+def risk_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = testdata.prediction_history(spark, folder)
+    return alerts.risk_windows(rows, slide="6 hours", start="0 seconds")
+
+
+# --- daily series --------------------------------------------------------------------------
+
+EXTEND_TO = "2001-12-31"
+
+
+def whole_series(spark: SparkSession, folder: str) -> DataFrame:
+    return series.traffic_series(testdata.traffic_raw(spark, folder))
+
+
+def panel(spark: SparkSession, folder: str) -> DataFrame:
+    return series.traffic_series(testdata.traffic_panel_raw(spark, folder))
+
+
+def stored_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return checkpointed(panel(spark, folder))
+
+
+@query
+def traffic_series(spark: SparkSession, folder: str) -> DataFrame:
+    return whole_series(spark, folder).orderBy("series_key", "ds")
+
+
+@query
+def traffic_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return panel(spark, folder)
+
+
+@query
+def traffic_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return series.traffic_profile(panel(spark, folder))
+
+
+@query
+def traffic_trend(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(series.traffic_trend(panel(spark, folder)))
+
+
+@query
+def traffic_extended(spark: SparkSession, folder: str) -> DataFrame:
+    return series.extend_series(stored_panel(spark, folder), EXTEND_TO)
+
+
+@query
+def traffic_holdout_split(spark: SparkSession, folder: str) -> DataFrame:
+    return series.holdout_split(stored_panel(spark, folder))
+
+
+@query
+def traffic_future_dates(spark: SparkSession, folder: str) -> DataFrame:
+    return series.future_days(panel(spark, folder))
+
+
+@query
+def traffic_holidays(spark: SparkSession, folder: str) -> DataFrame:
+    return series.with_holiday(whole_series(spark, folder)).select("series_key", "ds", "holiday")
+
+
+@query
+def traffic_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rounded(series.traffic_features(panel(spark, folder)))
+    # adding zero turns a negative zero into a plain one
+    return rows.select(
+        *(
+            (F.col(f.name) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
+            for f in rows.schema
+        )
+    )
+
+
+@query
+def capacity_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    days = panel(spark, folder).withColumnRenamed("y", "predicted_footfall")
+    return alerts.capacity_alerts(days)
+
+
+@query
+def forecast_totals(spark: SparkSession, folder: str) -> DataFrame:
+    days = series.extend_series(stored_panel(spark, folder), EXTEND_TO)
+    return alerts.forecast_totals(days.withColumnRenamed("y", "predicted_footfall"))
+
+
+@query
+def forecast_clamp(spark: SparkSession, folder: str) -> DataFrame:
+    """Per order an estimate with many exact halves and values below zero."""
+    estimates = testdata.table(spark, folder, "orders").selectExpr(
+        "string(o_orderkey) AS series_key",
+        "date(o_orderdate) AS ds",
+        "floor(o_totalprice) / 2 - 60000 AS yhat",
+        "floor(o_totalprice) / 2 - 90000 AS yhat_lower",
+        "floor(o_totalprice) / 2 - 30000 AS yhat_upper",
+    )
+    return forecast.clamp(estimates)
+
+
+@query
+def forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    split = series.holdout_split(stored_panel(spark, folder))
+    return rounded(quality.forecast_metrics(forecast.extrapolation(checkpointed(split))))
+
+
+def _as_points(days: DataFrame) -> DataFrame:
+    return days.select(
+        "series_key",
+        "ds",
+        F.col("y").alias("predicted_footfall"),
+        (F.col("y") - 1000).alias("lower_bound"),
+        (F.col("y") + 1000).alias("upper_bound"),
+    )
+
+
+@query
+def forecast_display(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast.with_chart_dates(_as_points(panel(spark, folder)))
+
+
+@query
+def forecast_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the holdout days of every series."""
+    held = series.last_rows(panel(spark, folder), 90)
+    documents = forecast.forecast_document(_as_points(held))
+    return documents.withColumn("forecast", F.to_json("forecast"))
+
+
+@query
+def traffic_meta(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored_panel(spark, folder)
+    split = checkpointed(series.holdout_split(rows))
+    measured = quality.forecast_metrics(forecast.extrapolation(split))
+    return forecast.training_meta(rows, measured, trained_on=EXTEND_TO, model_version=MODEL_VERSION)
+
+
+@query
+def traffic_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast.forecast(forecast.fit(panel(spark, folder)))
+
+
+@query
+def traffic_eval(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(forecast.evaluate(series.holdout_split(stored_panel(spark, folder))))
