@@ -61,8 +61,8 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
     """Give new predictions ids and a creation time and add them to the table at ``path``.
 
     Each append is one folder named by ``batch``. Writing a batch again replaces
-    it, with the ids it had, so a job or micro-batch that is repeated after a
-    failure leaves no duplicates. There is one writer per table.
+    it, so a job or micro-batch repeated after a failure leaves no duplicates.
+    There is one writer per table.
     """
     spark = predictions.sparkSession
     batch = batch or uuid4().hex
@@ -82,7 +82,7 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
 
 
 def _other_batches(spark: SparkSession, path: str, batch: str) -> DataFrame:
-    """The table without one batch; for micro-batches, the batches before it."""
+    """The table without one batch, whose ids are about to be given anew."""
     try:
         table = spark.read.schema(T.StructType([*HISTORY_SCHEMA, T.StructField("batch", T.StringType())])).parquet(path)
     except AnalysisException as error:

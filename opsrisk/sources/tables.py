@@ -31,8 +31,12 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_clean(featured: DataFrame, path: str) -> None:
-    """The clean table, one folder per year; a year holds whole files, not one per task."""
-    featured.write.mode("overwrite").partitionBy("year").parquet(path)
+    """The clean table, one folder per year.
+
+    Rebalancing brings the rows of a year together, so that not every task writes
+    to every year, and splits large years over several tasks.
+    """
+    featured.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def write_clean_csv(featured: DataFrame, path: str) -> None:

@@ -371,16 +371,6 @@ SELECT 'monitoring' AS alert_type, 'Automated Monitoring Alert' AS subject,
        || ': probability=' || tenths // 10 || '.' || tenths % 10 || '%. Consider proactive gate reallocation.' AS message,
        created_at AS event_time, id::VARCHAR AS ref_id FROM h""", ["past"])
 
-oracle("risk_windows_daily", """
-SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
-       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
-FROM (SELECT *, time_bucket(INTERVAL 24 HOUR, created_at, INTERVAL '6 hours 5 minutes') AS b FROM past) GROUP BY b""", ["past"])
-
-oracle("risk_windows_sliding", """
-SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
-       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
-FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) - to_hours(6 * k) AS b FROM past, range(4) t(k)) GROUP BY b""", ["past"])
-
 # --- daily series ------------------------------------------------------------------------
 
 shared("daily", """
@@ -513,3 +503,42 @@ SELECT series_key, round(mae, 2) AS mae, round(mape_pct, 4) AS mape_pct, p.n AS
        date_min, date_max, 'v1' AS model_version, DATE '2001-12-31' AS trained_on
 FROM metrics JOIN (SELECT series_key, count(*) AS n, min(ds) AS date_min, max(ds) AS date_max FROM panel GROUP BY ALL) p USING (series_key)""",
        ["metrics"])
+
+# --- streams: windows the watermark of one hour has not closed are not in the table -------------
+
+_CLOSED = "SELECT * FROM ({}) WHERE window_end <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM past)"
+_DAILY_WINDOWS = """SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
+       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
+FROM (SELECT *, time_bucket(INTERVAL 24 HOUR, created_at, INTERVAL '6 hours 5 minutes') AS b FROM past) GROUP BY b"""
+_SLIDING_WINDOWS = """SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
+       count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) - to_hours(6 * k) AS b FROM past, range(4) t(k)) GROUP BY b"""
+oracle("risk_windows_daily", _DAILY_WINDOWS, ["past"])
+oracle("risk_windows_sliding", _SLIDING_WINDOWS, ["past"])
+oracle("stream_risk_windows", _CLOSED.format(_DAILY_WINDOWS), ["past"])
+oracle("stream_risk_windows_sliding", _CLOSED.format(_SLIDING_WINDOWS), ["past"])
+ORACLES["stream_alerts"] = ORACLES["monitor_alerts"]
+ORACLES["stream_status_counts"] = ORACLES["status_counts"]
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+ORACLES["raw_csv_scan"] = ORACLES["clean_monthly"]
+ORACLES["clean_table_scan"] = ORACLES["features_monthly"]
+ORACLES["meta_json_scan"] = ORACLES["traffic_meta"]
+
+oracle("requests_from_json", """
+, r AS (SELECT event_id AS request_id, event_type AS e,
+    CASE WHEN event_type <> 'error' THEN (2013 + user_id % 18)::DOUBLE END AS year,
+    CASE WHEN event_type <> 'error' THEN (1 + event_id % 12)::DOUBLE END AS month,
+    CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 + floor(value) END AS arr_flights,
+    CASE WHEN event_type NOT IN ('error', 'click') THEN 0::DOUBLE END AS is_summer,
+    CASE WHEN event_type <> 'error' THEN (user_id % 18)::DOUBLE END AS years_since_2013 FROM events)
+SELECT request_id, year, month, arr_flights, is_summer, years_since_2013,
+  CASE e WHEN 'error' THEN 'year is required, month is required, arr_flights is required, is_summer is required, is_winter_holiday is required, years_since_2013 is required, airport_avg_delay_rate is required, carrier_avg_delay_rate is required'
+    WHEN 'signup' THEN 'arr_flights is required' WHEN 'click' THEN 'is_summer is required' ELSE '' END AS message
+FROM r""")
+
+oracle("history_append", """
+, c AS (SELECT status, count(*) AS n FROM past GROUP BY status)
+SELECT status, n, n AS ids, CASE status WHEN 'disruption_risk' THEN 1 ELSE 1 + (SELECT n FROM c WHERE status = 'disruption_risk') END::BIGINT AS first_id,
+       CASE status WHEN 'disruption_risk' THEN n ELSE (SELECT sum(n) FROM c) END::BIGINT AS last_id FROM c""", ["past"])

@@ -12,6 +12,7 @@ from opsrisk.constants import MODEL_VERSION
 from opsrisk.operators import (
     alerts,
     cleaning,
+    delay_model,
     eda,
     features,
     forecast,
@@ -21,9 +22,11 @@ from opsrisk.operators import (
     series,
     validation,
 )
+from opsrisk.plans import scoring
 from opsrisk.schemas import CLEAN_COLUMNS
-from opsrisk.session import checkpointed
-from opsrisk.sources import seeds, testdata
+from opsrisk.session import checkpointed, scratch_path
+from opsrisk.sources import history_store, models, requests, seeds, tables, testdata
+from opsrisk.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,3 +450,143 @@ def traffic_forecast(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def traffic_eval(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(forecast.evaluate(series.holdout_split(stored_panel(spark, folder))))
+
+
+# --- streams: all events are played through a standing query; its table is the result -------
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    events = spark.readStream.schema(testdata.TABLE_SCHEMAS["events"]).parquet(f"{folder}/events*.parquet")
+    return testdata.history_from(events)
+
+
+@query
+def stream_risk_windows(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "risk-windows")
+    windows = streams.risk_window_stream(event_stream(spark, folder))
+    streams.run_available(streams.table_writer(windows, f"{path}/table"), f"{path}/checkpoint")
+    closed = spark.read.schema(windows.schema).parquet(f"{path}/table")
+    return closed.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
+    )
+
+
+@query
+def stream_risk_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "sliding-windows")
+    windows = streams.risk_window_stream(
+        event_stream(spark, folder), slide="6 hours", start="0 seconds"
+    )
+    streams.run_available(streams.table_writer(windows, f"{path}/table"), f"{path}/checkpoint")
+    closed = spark.read.schema(windows.schema).parquet(f"{path}/table")
+    return closed.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
+    )
+
+
+@query
+def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "alerts")
+    raised = streams.alert_stream(event_stream(spark, folder))
+    streams.run_available(streams.table_writer(raised, f"{path}/table"), f"{path}/checkpoint")
+    table = spark.read.schema(raised.schema).parquet(f"{path}/table")
+    return table.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+@query
+def stream_status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "status-counts")
+    writer = streams.status_count_writer(event_stream(spark, folder), f"{path}/table")
+    streams.run_available(writer, f"{path}/checkpoint")
+    return streams.latest_status_counts(spark, f"{path}/table")
+
+
+# --- sources and sinks: what was written is read back -----------------------------------------
+
+
+@query
+def raw_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw monthly table through a CSV file and back, then cleaned."""
+    path = scratch_path(spark, "raw-csv")
+    testdata.monthly_raw(spark, folder).write.option("header", True).csv(path)
+    return rounded(cleaning.clean(tables.read_raw_csv(spark, path)))
+
+
+@query
+def clean_table_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table written by year and read back."""
+    path = scratch_path(spark, "clean-table")
+    tables.write_clean(features.add_features(stored_cells(spark, folder)), path)
+    return rounded(tables.read_clean(spark, path))
+
+
+@query
+def meta_json_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Training metadata written as JSON, read back, newest per series."""
+    path = scratch_path(spark, "meta")
+    tables.write_meta(traffic_meta(spark, folder), path)
+    return tables.latest_meta(tables.read_meta(spark, path))
+
+
+@query
+def requests_from_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests as JSON text, some with words or nothing where a number belongs, parsed and checked."""
+    texts = testdata.table(spark, folder, "events").selectExpr(
+        "event_id AS request_id",
+        """CASE event_type
+             WHEN 'error' THEN '{"year": "many'
+             ELSE concat('{"year":', 2013 + user_id % 18, ',"month":"', 1 + event_id % 12, '","arr_flights":',
+               IF(event_type = 'signup', '"many"', string(1 + floor(value))),
+               IF(event_type = 'click', '', ',"isSummer":0'),
+               ',"is_winter_holiday":0,"yearsSince2013":', user_id % 18,
+               ',"airport_avg_delay_rate":0.25,"carrier_avg_delay_rate":0.125}')
+           END AS body""",
+    )
+    checked = validation.validate(requests.parse_requests(texts))
+    return checked.select(
+        "request_id", "year", "month", "arr_flights", "is_summer", "years_since_2013",
+        F.array_join("violations", ", ").alias("message"),
+    )
+
+
+@query
+def history_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The history stored in two appends and read back: rows and ids per status."""
+    path = scratch_path(spark, "history")
+    rows = testdata.prediction_history(spark, folder)
+    for prediction in (1, 0):
+        history_store.append_history(rows.filter(F.col("high_delay_prediction") == prediction), path)
+    return history_store.read_history(spark, path).groupBy("status").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
+
+
+# --- delay model --------------------------------------------------------------------------------
+
+
+@query
+def delay_eval(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of the delay classifier on the held-out rows."""
+    _, evaluation = delay_model.train_delay(features.add_features(stored_cells(spark, folder)))
+    return rounded(evaluation.report)
+
+
+@query
+def delay_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests scored by a stored classifier, kept in the history and answered.
+
+    The classifier learns from averages over earlier months only.
+    """
+    rows = delay_model.learning_rows(
+        features.add_features(stored_cells(spark, folder), averages="asof").na.drop()
+    )
+    path = scratch_path(spark, "delay-model")
+    models.save_delay_model(delay_model.fit(rows), path)
+    return scoring.score_batch(
+        testdata.score_requests(spark, folder),
+        models.load_delay_model(path),
+        scratch_path(spark, "predictions"),
+    )
