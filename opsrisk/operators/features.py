@@ -53,17 +53,20 @@ def add_group_averages(cleaned: DataFrame) -> DataFrame:
 
 
 def add_group_averages_by_window(cleaned: DataFrame) -> DataFrame:
-    """The same averages with window functions, for tables with many small groups.
+    """The same averages with window functions over the airport-carrier pairs.
 
-    A window brings all rows of a key into one task, so prefer
-    :func:`add_group_averages` when a key can hold a large part of the table.
+    The windows see one row per pair and not the rows themselves, however many a
+    key has, and one join attaches both averages. It needs both keys on each row.
     """
-    return cleaned.withColumns(
-        {
-            f"{key}_avg_delay_rate": F.avg("delay_rate").over(Window.partitionBy(key))
-            for key in ("airport", "carrier")
-        }
-    )
+    pairs = group_sums(cleaned, ["airport", "carrier"], "delay_rate")
+    averages = {}
+    for key in ("airport", "carrier"):
+        whole = Window.partitionBy(key)
+        averages[f"{key}_avg_delay_rate"] = F.try_divide(
+            F.sum("value_sum").over(whole), F.sum("value_rows").over(whole)
+        )
+    means = pairs.withColumns(averages).drop("value_sum")
+    return attach_group_values(cleaned, means, ["airport", "carrier"], "value_rows")
 
 
 def prior_month_means(cleaned: DataFrame, key: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsrisk.constants import DELAY_LABEL_THRESHOLD, LEAK_COLUMNS
 from opsrisk.functions.rates import binary_label
+from opsrisk.operators.ordered import cumulative_counts
 
 LABEL = "high_delay"
 
@@ -22,6 +23,10 @@ def model_matrix(labelled: DataFrame, target: str = LABEL) -> DataFrame:
     return labelled.select(*numeric).drop(target, *LEAK_COLUMNS)
 
 
+def _digest(keys: list[str], seed: int) -> Column:
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
+
+
 def with_split(rows: DataFrame, keys: list[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_train``: a fixed draw per row key, the same share in every class.
 
@@ -30,5 +35,48 @@ def with_split(rows: DataFrame, keys: list[str], test_fraction: float = 0.2, see
     are partitioned.
     """
     cut = format(int((1.0 - test_fraction) * 2**32), "08x")
-    digest = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
-    return rows.withColumn("is_train", F.substring(digest, 1, 8) < F.lit(cut))
+    return rows.withColumn("is_train", F.substring(_digest(keys, seed), 1, 8) < F.lit(cut))
+
+
+def with_exact_split(
+    rows: DataFrame, keys: list[str], test_fraction: float = 0.2, seed: int = 42, label: str = LABEL
+) -> DataFrame:
+    """Add ``is_train`` so that both classes give exactly their part of the test rows.
+
+    The test rows are the fraction of all rows, rounded up; each class gives its
+    part rounded down and the class with the larger remainder one more. Every
+    row draws a number in [0, 1) from the digest of its key, and the smallest
+    draws of a class are its test rows. The limits come from running totals over
+    intervals of the draws, so no class is sorted in one task.
+    """
+    # 52 bits are a whole number a double holds exactly
+    draw = F.conv(F.substring(_digest(keys, seed), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    drawn = rows.withColumn("_draw", draw)
+    flags = drawn.select(
+        "_draw",
+        (F.col(label) == 1).cast("bigint").alias("pos"),
+        (F.col(label) == 0).cast("bigint").alias("neg"),
+    )
+    n = F.col("pos_total") + F.col("neg_total")
+    tests = F.ceil(n * F.lit(test_fraction))
+    parts = {c: F.floor(F.col(f"{c}_total") * tests / n) for c in ("pos", "neg")}
+    rest = {c: F.col(f"{c}_total") * tests / n - parts[c] for c in ("pos", "neg")}
+    spare = tests - parts["pos"] - parts["neg"]
+    to_pos = rest["pos"] >= rest["neg"]
+    quotas = {
+        "pos": parts["pos"] + F.when(to_pos, spare).otherwise(0),
+        "neg": parts["neg"] + F.when(to_pos, 0).otherwise(spare),
+    }
+    ranked = cumulative_counts(flags, "_draw", ["pos", "neg"])
+    limits = ranked.agg(
+        F.struct(
+            *(
+                F.coalesce(
+                    F.min(F.when((F.col(f"{c}_before") >= quotas[c]) & (F.col(c) > 0), F.col("_draw"))), F.lit(1.0)
+                ).alias(c)
+                for c in ("pos", "neg")
+            )
+        ).alias("limits")
+    ).scalar()
+    limit = F.when(F.col(label) == 1, limits["pos"]).otherwise(limits["neg"])
+    return drawn.withColumn("is_train", F.col("_draw") >= limit).drop("_draw")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsrisk.constants import MISSING_TOKENS
+from opsrisk.constants import DELAY_LABEL_THRESHOLD, MISSING_TOKENS
 from opsrisk.functions.rates import nan_to_null
 from opsrisk.operators.series import traffic_series
 from opsrisk.schemas import ALERT_COLUMNS, CLEAN_SCHEMA, META_SCHEMA, RAW_SCHEMA, TRAFFIC_CSV_SCHEMA
@@ -79,5 +79,16 @@ def latest_meta(meta: DataFrame) -> DataFrame:
     )
 
 
+def model_health(meta: DataFrame) -> DataFrame:
+    """Version and quality of the newest forecast models, with the classifier's threshold."""
+    return latest_meta(meta).select(
+        "series_key",
+        "model_version",
+        F.col("mae").alias("traffic_model_mae"),
+        F.col("mape_pct").alias("traffic_model_mape_pct"),
+        F.lit(DELAY_LABEL_THRESHOLD).alias("delay_threshold"),
+    )
+
+
 def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.select(*ALERT_COLUMNS).write.mode("append").parquet(path)

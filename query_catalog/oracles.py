@@ -244,6 +244,16 @@ SELECT year, month, carrier, airport, (delay_rate > 0.20::DOUBLE)::INTEGER AS hi
        substr(md5(concat_ws('|', carrier, airport, year, month, '42')), 1, 8) < 'cccccccc' AS is_train
 FROM clean""", ["clean"])
 
+oracle("exact_split", """
+, l AS (SELECT *, (delay_rate > 0.20::DOUBLE)::INTEGER AS high_delay,
+        md5(concat_ws('|', carrier, airport, year, month, '42')) AS digest FROM clean),
+q AS (SELECT *, row_number() OVER (PARTITION BY high_delay ORDER BY digest) AS place FROM l),
+t AS (SELECT count(*) AS n, ceil(count(*) * 0.2::DOUBLE) AS tests, sum(high_delay) AS pos FROM l),
+f AS (SELECT *, floor(pos * tests / n) AS p0, floor((n - pos) * tests / n) AS n0, pos * tests / n % 1 >= (n - pos) * tests / n % 1 AS up FROM t),
+g AS (SELECT p0 + CASE WHEN up THEN tests - p0 - n0 ELSE 0 END AS pq, n0 + CASE WHEN up THEN 0 ELSE tests - p0 - n0 END AS nq FROM f)
+SELECT year, month, carrier, airport, high_delay, place > CASE high_delay WHEN 1 THEN pq ELSE nq END AS is_train FROM q, g""",
+       ["clean"])
+
 shared("scored", """
   SELECT (event_type = 'error')::INTEGER AS y, round(least(value / 500, 1), 4) AS s,
          (round(least(value / 500, 1), 4) >= 0.1::DOUBLE)::INTEGER AS p FROM events""")
@@ -526,6 +536,10 @@ ORACLES["raw_csv_scan"] = ORACLES["clean_monthly"]
 ORACLES["clean_table_scan"] = ORACLES["features_monthly"]
 ORACLES["meta_json_scan"] = ORACLES["traffic_meta"]
 
+oracle("model_health", """
+SELECT series_key, 'v1' AS model_version, round(mae, 2) AS traffic_model_mae, round(mape_pct, 4) AS traffic_model_mape_pct,
+       0.2::DOUBLE AS delay_threshold FROM metrics""", ["metrics"])
+
 oracle("requests_from_json", """
 , r AS (SELECT event_id AS request_id, event_type AS e,
     CASE WHEN event_type <> 'error' THEN (2013 + user_id % 18)::DOUBLE END AS year,

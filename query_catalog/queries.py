@@ -92,7 +92,7 @@ def features_monthly(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def features_window(spark: SparkSession, folder: str) -> DataFrame:
-    rows = features.add_row_features(cells(spark, folder))
+    rows = features.add_row_features(stored_cells(spark, folder))
     return rounded(features.add_group_averages_by_window(rows).select(*CLEAN_COLUMNS))
 
 
@@ -188,6 +188,13 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.select(*CELL_KEYS, "high_delay", "is_train")
 
 
+@query
+def exact_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = learning_sets.with_label(stored_cells(spark, folder))
+    split = learning_sets.with_exact_split(rows, ["carrier", "airport", "year", "month"])
+    return split.select(*CELL_KEYS, "high_delay", "is_train")
+
+
 @query
 def classification_report(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(quality.classification_report(testdata.scored_labels(spark, folder)))
@@ -528,6 +535,13 @@ def meta_json_scan(spark: SparkSession, folder: str) -> DataFrame:
     return tables.latest_meta(tables.read_meta(spark, path))
 
 
+@query
+def model_health(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "meta")
+    tables.write_meta(traffic_meta(spark, folder), path)
+    return tables.model_health(tables.read_meta(spark, path))
+
+
 @query
 def requests_from_json(spark: SparkSession, folder: str) -> DataFrame:
     """Requests as JSON text, some with words or nothing where a number belongs, parsed and checked."""

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opsrisk.operators import eda, learning_sets, quality
 from opsrisk.operators.ordered import cumulative_counts, exact_quantiles
@@ -114,6 +115,17 @@ def test_split_keeps_the_class_ratio(spark):
     assert split.filter("is_train").exceptAll(again.filter("is_train")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 10, 37, 1000])
+def test_exact_split_quota(spark, n):
+    rows = spark.range(n).selectExpr("id AS k", "int(id % 10 < 3) AS high_delay")
+    split = learning_sets.with_exact_split(rows, ["k"])
+    tests = {r["high_delay"]: r["n"] for r in split.filter("NOT is_train").groupBy("high_delay").agg(F.count("*").alias("n")).collect()}
+    total = math.ceil(n * 0.2)
+    positives = sum(i % 10 < 3 for i in range(n))
+    assert sum(tests.values()) == total
+    assert abs(tests.get(1, 0) - positives * total / n) < 1
+
+
 def test_model_matrix_drops_leaks_and_text(spark):
     rows = cells(spark, [(2020, 1, "A", "A", "X", 0.5)])
     assert learning_sets.model_matrix(learning_sets.with_label(rows)).columns == ["year", "month"]
