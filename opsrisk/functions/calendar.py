@@ -85,32 +85,39 @@ HOLIDAY_NAMES = (
 _MONDAY, _FRIDAY = 0, 4
 
 
-def _falls_on(day: Column, month: int, day_of_month: int, first_year: int) -> Column:
-    return (F.month(day) == month) & (F.dayofmonth(day) == day_of_month) & (F.year(day) >= first_year)
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
 
 
-def us_holiday(day: Column) -> Column:
-    """Name of the holiday a date is, or null.
+def _falls_on(day: str, month: int, day_of_month: int, first_year: int) -> str:
+    return f"(month({day}) = {month} AND day({day}) = {day_of_month} AND year({day}) >= {first_year})"
+
+
+def us_holiday(day: str) -> Column:
+    """Name of the holiday the date in a column is, or null.
 
     Each date is judged by itself, so no holiday table has to be built, bounded
     or joined. A fixed-date holiday on a Saturday is also observed on the
     Friday before, one on a Sunday on the Monday after.
     """
-    weekday = F.weekday(day)
     rules = []
     for name, month, day_of_month, first_year in FIXED_DATE_HOLIDAYS:
         rules.append((_falls_on(day, month, day_of_month, first_year), name))
-    for name, month, on_weekday, first, last in FLOATING_HOLIDAYS:
+    for name, month, weekday, first, last in FLOATING_HOLIDAYS:
         rules.append(
             (
-                (F.month(day) == month) & (weekday == on_weekday) & F.dayofmonth(day).between(first, last),
+                f"month({day}) = {month} AND weekday({day}) = {weekday} AND day({day}) BETWEEN {first} AND {last}",
                 name,
             )
         )
     for name, month, day_of_month, first_year in FIXED_DATE_HOLIDAYS:
-        before, after = F.date_sub(day, 1), F.date_add(day, 1)
-        observed = ((weekday == _FRIDAY) & _falls_on(after, month, day_of_month, first_year)) | (
-            (weekday == _MONDAY) & _falls_on(before, month, day_of_month, first_year)
+        after = _falls_on(f"date_add({day}, 1)", month, day_of_month, first_year)
+        before = _falls_on(f"date_sub({day}, 1)", month, day_of_month, first_year)
+        rules.append(
+            (
+                f"weekday({day}) = {_FRIDAY} AND {after} OR weekday({day}) = {_MONDAY} AND {before}",
+                name + OBSERVED_SUFFIX,
+            )
         )
-        rules.append((observed, name + OBSERVED_SUFFIX))
-    return F.coalesce(*(F.when(condition, F.lit(name)) for condition, name in rules))
+    cases = " ".join(f"WHEN {condition} THEN {_text(name)}" for condition, name in rules)
+    return F.expr(f"CASE {cases} END")

@@ -45,7 +45,6 @@ def delay_pipeline(settings: BoostingSettings = BoostingSettings()) -> Pipeline:
         stepSize=settings.step,
         maxBins=settings.bins,
         seed=settings.seed,
-        cacheNodeIds=True,
         checkpointInterval=10,
     )
     return Pipeline(stages=[assembler, trees])

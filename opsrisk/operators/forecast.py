@@ -62,7 +62,7 @@ def _prior_widths() -> list[float]:
 def _with_features(timed: DataFrame) -> DataFrame:
     """Add the feature vector; the rows carry the training range of their series."""
     placed = S.with_holiday(timed).withColumn("t", S.scaled_time())
-    return placed.withColumn("features", F.array(*S.regression_features().values()))
+    return placed.withColumn("features", F.expr(f"array({', '.join(S.regression_features().values())})"))
 
 
 def fit(series: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def future_days(series: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
 
 
 def with_holiday(series: DataFrame) -> DataFrame:
-    return series.withColumn("holiday", us_holiday(F.col("ds")))
+    return series.withColumn("holiday", us_holiday("ds"))
 
 
 def changepoints() -> list[float]:
@@ -155,21 +155,23 @@ def scaled_time(start: str = "start_ds", end: str = "end_ds") -> Column:
     return F.date_diff("ds", start) / F.greatest(F.date_diff(end, start), F.lit(1))
 
 
-def regression_features() -> dict[str, Column]:
-    """Trend, trend changes, yearly and weekly waves and holidays, from ``ds`` and ``t``."""
-    t = F.col("t")
-    day = F.unix_date("ds")
-    columns = {"t": t}
+def regression_features() -> dict[str, str]:
+    """Trend, trend changes, yearly and weekly waves and holidays.
+
+    Expressions over ``ds``, the scaled time ``t`` and ``holiday``.
+    """
+    terms = {"t": "t"}
     for i, place in enumerate(changepoints(), start=1):
-        columns[f"bend_{i}"] = F.greatest(F.lit(0.0), t - place)
+        terms[f"bend_{i}"] = f"greatest(0D, t - {place!r}D)"
     for name, period, order in (("yearly", YEARLY_PERIOD, YEARLY_ORDER), ("weekly", WEEKLY_PERIOD, WEEKLY_ORDER)):
         for k in range(1, order + 1):
-            angle = day * F.lit(2 * math.pi * k / period)
-            columns[f"{name}_sin_{k}"] = F.sin(angle)
-            columns[f"{name}_cos_{k}"] = F.cos(angle)
+            angle = f"unix_date(ds) * {2 * math.pi * k / period!r}D"
+            terms[f"{name}_sin_{k}"] = f"sin({angle})"
+            terms[f"{name}_cos_{k}"] = f"cos({angle})"
     for i, holiday in enumerate(HOLIDAY_NAMES, start=1):
-        columns[f"holiday_{i}"] = F.coalesce((F.col("holiday") == holiday).cast("double"), F.lit(0.0))
-    return columns
+        quoted = holiday.replace("'", "\\'")
+        terms[f"holiday_{i}"] = f"double(holiday <=> '{quoted}')"
+    return terms
 
 
 def with_training_range(series: DataFrame) -> DataFrame:
@@ -185,5 +187,5 @@ def with_training_range(series: DataFrame) -> DataFrame:
 def traffic_features(series: DataFrame) -> DataFrame:
     """The regression features as columns, for inspection."""
     timed = with_holiday(with_training_range(series)).withColumn("t", scaled_time())
-    columns = regression_features()
-    return timed.select(KEY, "ds", "y", *(column.alias(name) for name, column in columns.items()))
+    terms = regression_features()
+    return timed.selectExpr(KEY, "ds", "y", *(f"{term} AS {name}" for name, term in terms.items()))

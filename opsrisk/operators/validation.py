@@ -32,16 +32,16 @@ REQUIRED_SUFFIX = " is required"
 def violations() -> Column:
     """Messages of the rules a request breaks, in field order; empty when valid.
 
-    A NaN is above every limit, so it breaks the upper one where there is one;
-    readers turn NaN into null before, which breaks 'required'.
+    A NaN is no number within any limits and breaks the lower one, although
+    Spark orders it above all numbers.
     """
     found = []
     for field, low, below, high, above in REQUEST_RULES:
         value = F.col(field)
         found.append(F.when(value.isNull(), F.lit(field + REQUIRED_SUFFIX)))
-        found.append(F.when(value < low, F.lit(below)))
+        found.append(F.when((value < low) | F.isnan(value), F.lit(below)))
         if high is not None:
-            found.append(F.when(value > high, F.lit(above)))
+            found.append(F.when((value > high) & ~F.isnan(value), F.lit(above)))
     return F.array_compact(F.array(*found))
 
 

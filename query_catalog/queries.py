@@ -44,13 +44,14 @@ def rounded(df: DataFrame) -> DataFrame:
 
     Sums of doubles differ in their last bits with the order of their terms. The
     first, finer rounding takes that away, so that values half-way between two
-    results of the second go the same way in every engine.
+    results of the second go the same way in every engine. Adding zero turns a
+    negative zero into a plain one.
     """
-    return df.select(
+    return df.selectExpr(
         *(
-            F.round(F.round(f.name, 10), 6).alias(f.name)
+            f"round(round(`{f.name}`, 10), 6) + 0D AS `{f.name}`"
             if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema
         )
     )
@@ -377,14 +378,7 @@ def traffic_holidays(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def traffic_features(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rounded(series.traffic_features(panel(spark, folder)))
-    # adding zero turns a negative zero into a plain one
-    return rows.select(
-        *(
-            (F.col(f.name) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
-            for f in rows.schema
-        )
-    )
+    return rounded(series.traffic_features(panel(spark, folder)))
 
 
 @query

@@ -81,7 +81,8 @@ def compare(spark: SparkSession, folder: str, key: str) -> tuple[int, list[str]]
 
 
 if __name__ == "__main__":
-    folder = f"/root/testdata/sf{sys.argv[1]}"
+    # a scale factor or a folder
+    folder = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/sf{sys.argv[1]}"
     keys = sys.argv[2:] or list(queries())
     session = (
         SparkSession.builder.master("local[8]").appName("compare")

@@ -33,6 +33,8 @@ def test_valid_request(spark):
         ({"year": 2012.0}, "year must be >= 2013"),
         ({"year": 2031.0}, "year must be <= 2030"),
         ({"arr_flights": 0.5}, "arr_flights must be >= 1"),
+        ({"arr_flights": float("nan")}, "arr_flights must be >= 1"),
+        ({"month": float("nan")}, "month must be between 1 and 12"),
         ({"is_summer": 2.0}, "must be less than or equal to 1"),
         ({"years_since_2013": -1.0}, "must be greater than or equal to 0"),
         ({"airport_avg_delay_rate": 1.5}, "must be less than or equal to 1.0"),

@@ -46,7 +46,7 @@ def test_observed_holidays(spark):
         date(2023, 5, 22): None,
     }
     rows = spark.createDataFrame([(d,) for d in expected], "ds date")
-    assert {r["ds"]: r["h"] for r in rows.select("ds", us_holiday(F.col("ds")).alias("h")).collect()} == expected
+    assert {r["ds"]: r["h"] for r in rows.select("ds", us_holiday("ds").alias("h")).collect()} == expected
 
 
 def test_extension_of_current_series_adds_nothing(spark):
