@@ -13,12 +13,16 @@ def build_session(app: str = "opsrisk", master: str | None = None, **conf: objec
 
     Adaptive execution does the run-time work: it merges small shuffle
     partitions, splits skewed join partitions and re-plans joins on measured
-    sizes. On a cluster pass no ``master`` and let spark-submit decide.
+    sizes. Stream state is kept in RocksDB, outside the heap. On a cluster pass
+    no ``master`` and let spark-submit decide.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{key: str(value) for key, value in conf.items()},
@@ -54,6 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark reads."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, on storage that outlives executors."""
     shared_folder(df.sparkSession)

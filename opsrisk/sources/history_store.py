@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsrisk.schemas import HISTORY_SCHEMA
-from opsrisk.session import checkpointed
+from opsrisk.session import checkpointed, path_exists
 
 # monotonically_increasing_id keeps the row number of a partition in its lower bits
 _ROW_BITS = 33
@@ -18,12 +17,9 @@ _ROW_BITS = 33
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The history; empty when nothing was written yet."""
-    try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*HISTORY_SCHEMA.names)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], HISTORY_SCHEMA)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*HISTORY_SCHEMA.names)
 
 
 def with_ids(rows: DataFrame, after: int) -> DataFrame:
@@ -83,13 +79,10 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
 
 def _other_batches(spark: SparkSession, path: str, batch: str) -> DataFrame:
     """The table without one batch, whose ids are about to be given anew."""
-    try:
-        table = spark.read.schema(T.StructType([*HISTORY_SCHEMA, T.StructField("batch", T.StringType())])).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return table.filter(F.col("batch") != batch)
+    by_batch = T.StructType([*HISTORY_SCHEMA, T.StructField("batch", T.StringType())])
+    return spark.read.schema(by_batch).parquet(path).filter(F.col("batch") != batch)
 
 
 def read_history_jdbc(

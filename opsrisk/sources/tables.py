@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +10,7 @@ from opsrisk.constants import DELAY_LABEL_THRESHOLD, MISSING_TOKENS
 from opsrisk.functions.rates import nan_to_null
 from opsrisk.operators.series import traffic_series
 from opsrisk.schemas import ALERT_COLUMNS, CLEAN_SCHEMA, META_SCHEMA, RAW_SCHEMA, TRAFFIC_CSV_SCHEMA
+from opsrisk.session import path_exists
 
 
 def _typed(name: str, kind: T.DataType) -> Column:
@@ -61,12 +61,9 @@ def write_meta(meta: DataFrame, path: str) -> None:
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """Training metadata; empty when none was written yet."""
-    try:
-        return spark.read.schema(META_SCHEMA).json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], META_SCHEMA)
+    return spark.read.schema(META_SCHEMA).json(path)
 
 
 def latest_meta(meta: DataFrame) -> DataFrame:

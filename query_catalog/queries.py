@@ -450,7 +450,8 @@ def traffic_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def traffic_eval(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(forecast.evaluate(series.holdout_split(stored_panel(spark, folder))))
+    split = series.holdout_split(stored_panel(spark, folder))
+    return rounded(forecast.evaluate(checkpointed(split)))
 
 
 # --- streams: all events are played through a standing query; its table is the result -------

@@ -8,6 +8,7 @@ from opsrisk.functions.calendar import seasonal_effect, us_holiday, weekly_effec
 from opsrisk.functions.rates import whole_count
 from opsrisk.operators import alerts, forecast, series
 from opsrisk.plans import traffic
+from opsrisk.sources import models, tables
 
 SCHEMA = "series_key string, ds date, y bigint"
 
@@ -143,6 +144,21 @@ def test_one_series_does_not_change_another(spark):
     assert np.allclose(both["B"]["coefficients"], alone["coefficients"], atol=1e-9)
 
 
+def test_saved_coefficients_forecast_alike(spark, model, folder):
+    models.save_forecast_model(model, f"{folder}/model")
+    loaded = models.load_forecast_model(spark, f"{folder}/model")
+    assert forecast.forecast(loaded, 7).collect() == forecast.forecast(model, 7).collect()
+    with pytest.raises(Exception):
+        models.load_forecast_model(spark, f"{folder}/none").collect()
+
+
+def test_series_from_csv(spark, folder):
+    with open(f"{folder}/traffic.csv", "w") as out:
+        out.write("date,passenger_footfall\n2020-01-02,110\n2020-01-01,100\n")
+    rows = tables.read_traffic_csv(spark, f"{folder}/traffic.csv").orderBy("ds").collect()
+    assert [tuple(r) for r in rows] == [("ALL", date(2020, 1, 1), 100), ("ALL", date(2020, 1, 2), 110)]
+
+
 def test_document(spark, model):
     points = forecast.forecast(model, 3)
     document = forecast.forecast_document(points).first()
