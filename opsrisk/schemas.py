@@ -81,7 +81,16 @@ META_SCHEMA = T.StructType(
     ]
 )
 
-ALERT_COLUMNS = ("alert_type", "subject", "message", "event_time", "ref_id")
+ALERT_SCHEMA = T.StructType(
+    [
+        T.StructField("alert_type", T.StringType()),
+        T.StructField("subject", T.StringType()),
+        T.StructField("message", T.StringType()),
+        T.StructField("event_time", T.TimestampType()),
+        T.StructField("ref_id", T.StringType()),
+    ]
+)
+ALERT_COLUMNS = tuple(ALERT_SCHEMA.names)
 
 # --- fixed values: thirty monthly scenarios that fill an empty history --------
 # year, month, flights, summer, winter holiday, years since 2013, airport rate, carrier rate

@@ -6,7 +6,6 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsrisk.schemas import HISTORY_SCHEMA
 from opsrisk.session import checkpointed, path_exists
@@ -14,6 +13,9 @@ from opsrisk.session import checkpointed, path_exists
 # monotonically_increasing_id keeps the row number of a partition in its lower bits
 _ROW_BITS = 33
 
+# Spark's readers pass over folders whose name starts like this
+_NOTES = "_last_ids"
+
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The history; empty when nothing was written yet."""
@@ -22,35 +24,31 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*HISTORY_SCHEMA.names)
 
 
-def with_ids(rows: DataFrame, after: int) -> DataFrame:
-    """Consecutive ids from ``after`` + 1, without a sort and without a single-task pass.
+def with_ids(rows: DataFrame, after: int) -> tuple[DataFrame, int]:
+    """Consecutive ids from ``after`` + 1, and the last one given.
 
-    The rows are stored first, so that their partitions no longer change. Then
-    each partition's rows are counted, and an id is the number of rows in the
-    partitions before plus the row's place in its own. The table of counts has
-    as many rows as there are partitions.
+    There is no sort and no pass in a single task. The rows are stored first, so
+    that their partitions no longer change. Then each partition's rows are
+    counted, and an id is the number of rows in the partitions before plus the
+    row's place in its own. The table of counts has as many rows as there are
+    partitions.
     """
     placed = checkpointed(rows.drop("id")).withColumns(
         {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}
     )
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    starts, total = {}, after
+    starts, last = [], after
     for part in sorted(counts):
-        starts[part] = total + 1
-        total += counts[part]
-    if not starts:
-        return placed.withColumn("id", F.lit(0).cast("bigint")).drop("_part", "_row")
-    start_of = placed.sparkSession.createDataFrame(list(starts.items()), "_part int, _start bigint")
+        starts.append((part, last + 1))
+        last += counts[part]
+    start_of = placed.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     row = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    numbered = (
         placed.join(F.broadcast(start_of), "_part")
         .withColumn("id", F.col("_start") + row)
         .drop("_part", "_row", "_start")
     )
-
-
-def last_id(history: DataFrame) -> int:
-    return history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered, last
 
 
 def append_history(predictions: DataFrame, path: str, batch: str | None = None) -> DataFrame:
@@ -58,31 +56,38 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
 
     Each append is one folder named by ``batch``. Writing a batch again replaces
     it, so a job or micro-batch repeated after a failure leaves no duplicates.
-    There is one writer per table.
+    The last id of each batch is noted before its rows are written: the next
+    append reads these notes and not the history, and a failure in between
+    leaves a gap in the ids, never an id given twice. There is one writer per
+    table.
     """
     spark = predictions.sparkSession
     batch = batch or uuid4().hex
-    earlier = _other_batches(spark, path, batch)
     rows = predictions
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.current_timestamp())
-    complete = with_ids(rows, last_id(earlier)).select(
+    numbered, last = with_ids(rows, _last_id(spark, path, batch))
+    complete = numbered.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA)
     )
     missing = " OR ".join(f"{name} IS NULL" for name in HISTORY_SCHEMA.names)
     checked = complete.withColumn(
         "status", F.expr(f"IF({missing}, raise_error('history columns must not be null'), status)")
     )
+    note = spark.createDataFrame([(last,)], "last_id bigint")
+    note.write.mode("overwrite").parquet(f"{path}/{_NOTES}/batch={batch}")
     checked.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return spark.read.schema(HISTORY_SCHEMA).parquet(f"{path}/batch={batch}")
 
 
-def _other_batches(spark: SparkSession, path: str, batch: str) -> DataFrame:
-    """The table without one batch, whose ids are about to be given anew."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], HISTORY_SCHEMA)
-    by_batch = T.StructType([*HISTORY_SCHEMA, T.StructField("batch", T.StringType())])
-    return spark.read.schema(by_batch).parquet(path).filter(F.col("batch") != batch)
+def _last_id(spark: SparkSession, path: str, batch: str) -> int:
+    """The highest id of the other batches; this one's are about to be given anew."""
+    notes = f"{path}/{_NOTES}"
+    if not path_exists(spark, notes):
+        return 0
+    table = spark.read.schema("last_id bigint, batch string").parquet(notes)
+    others = table.filter(F.col("batch") != batch)
+    return others.agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
 
 
 def read_history_jdbc(

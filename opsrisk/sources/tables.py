@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from opsrisk.constants import DELAY_LABEL_THRESHOLD, MISSING_TOKENS
 from opsrisk.functions.rates import nan_to_null
 from opsrisk.operators.series import traffic_series
-from opsrisk.schemas import ALERT_COLUMNS, CLEAN_SCHEMA, META_SCHEMA, RAW_SCHEMA, TRAFFIC_CSV_SCHEMA
+from opsrisk.schemas import ALERT_COLUMNS, ALERT_SCHEMA, CLEAN_SCHEMA, META_SCHEMA, RAW_SCHEMA, TRAFFIC_CSV_SCHEMA
 from opsrisk.session import path_exists
 
 
@@ -87,5 +89,11 @@ def model_health(meta: DataFrame) -> DataFrame:
     )
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.select(*ALERT_COLUMNS).write.mode("append").parquet(path)
+def append_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add alerts to the table at ``path``, one folder per ``batch``, which replaces itself."""
+    rows = alerts.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT_SCHEMA))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch or uuid4().hex}")
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ALERT_SCHEMA).parquet(path).select(*ALERT_COLUMNS)

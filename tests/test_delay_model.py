@@ -109,7 +109,26 @@ def test_monitoring_and_scan(spark, pipeline, folder):
     assert (stored["flight_year"], stored["flight_month"], stored["arr_flights"], stored["is_summer"]) == (2024, 7, 250.0, 1.0)
     assert raised.count() == int(stored["high_delay_probability"] >= 0.65)
     scan = monitoring.daily_risk_scan(spark, f"{folder}/history", "2024-07-04 06:05:00", f"{folder}/alerts")
+    stored_alerts = scan.count() + raised.count()
     assert scan.count() == raised.count()
+    # a repeated run replaces itself
+    monitoring.monitor(spark, model, "2024-07-03 12:00:00", f"{folder}/history", f"{folder}/alerts")
+    assert history_store.read_history(spark, f"{folder}/history").count() == 1
+    assert tables.read_alerts(spark, f"{folder}/alerts").count() == stored_alerts
+
+
+def test_scan_stores_its_alert(spark, folder):
+    sure = spark.range(5).selectExpr(
+        "1 AS flight_month", "2024 AS flight_year", "250D AS arr_flights", "0D AS is_summer", "1D AS is_winter_holiday",
+        "11D AS years_since_2013", "0.2D AS airport_avg_delay_rate", "0.2D AS carrier_avg_delay_rate",
+        "1 AS high_delay_prediction", "0.5D + id / 10D AS high_delay_probability", "'disruption_risk' AS status",
+        "'v1' AS model_version", "TIMESTAMP '2024-01-10 08:00:00' AS created_at",
+    )
+    history_store.append_history(sure, f"{folder}/history")
+    for _ in range(2):
+        alert = monitoring.daily_risk_scan(spark, f"{folder}/history", "2024-01-10 09:00:00", f"{folder}/alerts").first()
+    assert alert["message"].startswith("3 high-risk delay predictions")
+    assert tables.read_alerts(spark, f"{folder}/alerts").count() == 1
 
 
 def test_asof_features_train_too(spark):
