@@ -28,3 +28,25 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines,
 FROM keyed k LEFT JOIN shared s USING (key)
 GROUP BY k.doc_id
 """
+
+ORACLES["op4_near_dedup"] = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_BLANK}+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s
+  FROM words
+), flat AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), roots AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN roots ON doc_id = u
+"""

@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsrisk.llm import byte_bpe, line_dedup, quality, token_files, toxicity
+from opsrisk.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality, sharding, token_files, toxicity
 from opsrisk.llm.common import table
 from opsrisk.session import scratch_path
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 8 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,6 +33,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), SHARD_BYTES)
+    return shards.selectExpr(
+        "doc_id",
+        "CAST(coalesce(octet_length(CAST(text AS binary)), 0) AS bigint) AS n_bytes",
+        "shard",
+        "shard_bytes",
+        "shard_docs",
+    )
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_files.write_token_files(
@@ -41,6 +61,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index)
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
