@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -17,7 +18,7 @@ from opsrisk.session import scratch_path
 #: Python's white space of one byte, as the word contracts name it.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-#: Folders that stored() has made and released() has not removed yet.
+#: Folders that stored() has made.
 _made: list[str] = []
 
 
@@ -37,14 +38,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Remove what stored() has written so far.
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` the folders that stored() makes inside."""
+    before = len(_made)
+    yield
+    paths += _made[before:]
 
-    Only for jobs that know that all results so far are written elsewhere, as
-    between two stages of a pipeline.
-    """
-    while _made:
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+
+def released(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of stored(), once all results that were made from them are written elsewhere."""
+    while paths:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsrisk.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality, sharding, token_files, toxicity
+from opsrisk.llm import byte_bpe, decontamination, line_dedup, near_dedup, neighbours, passages, quality, sharding, token_files, toxicity
 from opsrisk.llm.common import table
 from opsrisk.session import scratch_path
 
@@ -33,11 +33,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), SHARD_BYTES)
