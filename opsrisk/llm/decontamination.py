@@ -143,14 +143,16 @@ def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, matches: DataFra
         text = _text()
         named = F.lower(F.regexp_replace(text, NAMES, f"$1{NAME}"))
         counted = F.regexp_replace(named, NUMBERS, NUMBER)
-        matched = with_words(rows.join(found.select(key).distinct(), key, "left_semi")).select(
+        wanted = rows.distinct().join(found.select(key).distinct(), key, "left_semi")
+        matched = with_words(wanted.withColumn("_of", F.xxhash64("text"))).select(
             key,
+            "_of",
             F.posexplode("_words").alias(at, "_word"),
             F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)).alias("names"),
             F.regexp_extract_all(named, F.lit(NUMBERS), F.lit(0)).alias("numbers"),
             F.regexp_extract_all(counted, F.lit(UNITS_AFTER), F.lit(2)).alias("units"),
         )
-        before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(key, "_of").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
         out = matched.where(F.col("_word").rlike(PLACEHOLDER))
         kinds = {"names": NAME, "numbers": NUMBER, "units": UNIT}
         for kind, mark in kinds.items():

@@ -50,3 +50,26 @@ links AS MATERIALIZED (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN roots ON doc_id = u
 """
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH own AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h
+  FROM documents
+), buckets AS (
+  SELECT depth, h >> (48 - depth) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS n
+  FROM own, (SELECT unnest(range(0, 49))::INTEGER AS depth) GROUP BY ALL
+), placed AS (
+  SELECT doc_id, n_bytes, h, min(depth) AS depth
+  FROM own JOIN buckets ON prefix = h >> (48 - depth) WHERE bytes <= {limit} OR depth = 48 GROUP BY ALL
+)
+SELECT doc_id, n_bytes, 'r' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
+       bytes AS shard_bytes, n AS shard_docs
+FROM placed JOIN buckets USING (depth) WHERE prefix = h >> (48 - depth)
+"""
+
+
+ORACLES["op6_sharding"] = sharding_sql(8 << 20)
+
