@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
@@ -39,27 +41,58 @@ class PieceEncoder:
     be cut there and the ids of its pieces joined.
     """
 
-    LIMIT = 400_000
+    #: Pieces remembered, some 200 bytes each.
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= WIDE else "<u4"
         self.known: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}  # by the piece without its space
 
-    @property
-    def width(self) -> str:
-        return "<u2" if self.tokenizer.get_vocab_size() <= WIDE else "<u4"
+    def _learn(self, into: dict[str, bytes], keys: list[str], before: str) -> None:
+        found = self.tokenizer.encode_batch_fast([before + key for key in keys], add_special_tokens=False)
+        kind = "H" if self.width == "<u2" else "I"
+        into.update((key, _little(array(kind, one.ids))) for key, one in zip(keys, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, as wide as the vocabulary asks."""
-        if len(self.known) > self.LIMIT:
+        if len(self.known) + len(self.after_space) > self.LIMIT:
             self.known.clear()
-        cut = [_SAFE.split(text) if _ODD.search(text) else _PIECE.findall(text) for text in texts]
-        new = list({piece for parts in cut for piece in parts if piece not in self.known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, self.width).tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+            self.after_space.clear()
+        cut = [_lines(text) if _plain(text) else [[piece] for piece in _pieces(text)] for text in texts]
+        self._learn(self.known, list({line[0] for lines in cut for line in lines}.difference(self.known)), "")
+        self._learn(self.after_space, list({w for lines in cut for line in lines for w in line[1:]}.difference(self.after_space)), " ")
+        known, later = self.known.__getitem__, self.after_space.__getitem__
+        return [b"".join([x for line in lines for x in (known(line[0]), *map(later, line[1:]))]) for lines in cut]
+
+
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+def _plain(text: str) -> bool:
+    """Whether single spaces and newlines between words are all the white space of a text."""
+    return not (
+        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+        or "\n\n" in text or _ODD.search(text)
+    )
+
+
+def _lines(text: str) -> list[list[str]]:
+    """The words of each line; the first of a further line with its newline."""
+    lines = [line.split(" ") for line in text.split("\n")]
+    for line in lines[1:]:
+        line[0] = "\n" + line[0]
+    return lines
+
+
+def _pieces(text: str) -> list[str]:
+    return _SAFE.split(text) if _ODD.search(text) else _PIECE.findall(text)
 
 
 @lru_cache(maxsize=2)
