@@ -60,8 +60,8 @@ def _bands(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row ``doc_id``, ``n``, ``node`` (128 bits that name the set), ``bands``, ``sketch`` and the set itself."""
-    fields = schema_of("doc_id bigint, n bigint, node binary, bands array<bigint>, sketch binary, shingles binary")
+    """Per row ``doc_id``, ``n``, ``key`` (128 bits that name the set), ``bands``, ``sketch`` and the set itself."""
+    fields = schema_of("doc_id bigint, n bigint, key binary, bands array<bigint>, sketch binary, shingles binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -86,7 +86,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sketches don't rule them out, by the share of values that agree."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
-    fields = schema_of("u binary, v binary")
+    fields = schema_of("u bigint, v bigint")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +104,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -
     wanted = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     full = stored(_full(sets, wanted), "near-sets")
     of = lambda side: full.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-    fields = schema_of("u binary, v binary")
+    fields = schema_of("u bigint, v bigint")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +121,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -
     return stored(both.mapInArrow(run, fields), "near-links")
 
 
-def _full(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted nodes, one row each."""
-    return sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+def _full(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the wanted nodes."""
+    return full.join(wanted, "node", "left_semi")
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,10 +137,10 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     every = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
     every = every.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = every.join(_full(sets, members.select("node").distinct()), "node")
-    fields = schema_of("u binary, v binary")
+    fields = schema_of("u bigint, v bigint")
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, roots = group["node"].to_pylist(), np.unique(np.array(group["root"].to_pylist(), "S16"), return_inverse=True)[1]
+        nodes, roots = group["node"].to_pylist(), np.array(group["root"].to_pylist())
         own = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
         sizes = np.array([len(x) for x in own])
         values, columns = np.unique(np.concatenate(own), return_inverse=True)
@@ -165,7 +165,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _own(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(``node``, ``own``): how many shingles a member shares with no other member; they are in no intersection."""
-    fields = schema_of("node binary, shingle bigint")
+    fields = schema_of("node bigint, shingle bigint")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +216,10 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     sets = stored(_sets(docs, size), "near-shingles")
     nodes = stored(
-        sets.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        sets.where("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
     rows = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
@@ -226,6 +227,11 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = stored(
         rows.join(shared.select("bucket"), "bucket", "left_semi").selectExpr("*", "node AS root", "0L AS own"), "near-members"
     )
+    # of the sets, only those that share a bucket are ever compared
+    keys = members.select("node").distinct().join(nodes.select("node", "key"), "node")
+    full = stored(
+        sets.select("key", "shingles").join(keys, "key").select("node", "shingles").dropDuplicates(["node"]), "near-sets"
+    )
     links: DataFrame | None = None
     tried: DataFrame | None = None
     for step in range(ROUNDS + 1):
@@ -240,7 +246,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             )
         else:
             counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-            links = links.unionByName(_within(members.join(counts.where(f"k > {PAIRWISE}"), "bucket"), sets, percent))
+            links = links.unionByName(_within(members.join(counts.where(f"k > {PAIRWISE}"), "bucket"), full, percent))
             small = stored(members.join(counts.where(f"k <= {PAIRWISE}").select("bucket"), "bucket"), "near-members")
             met = small.alias("a").join(
                 small.alias("b"),
@@ -250,19 +256,19 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stored(pairs, "near-tried")
-        new = _linked(pairs, sets, nodes, percent)
+        new = _linked(pairs, full, nodes, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         if step < ROUNDS:
-            members = _unsettled(members, links, sets)
+            members = _unsettled(members, links, full)
     if links is None:
         groups = nodes.select("node", "least_id", F.col("node").alias("root"))
     else:
         groups = nodes.select("node", "least_id").join(components(links), "node", "left")
         groups = groups.withColumn("root", F.coalesce("root", "node"))
     of_root = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_node = groups.join(of_root, "root").select("node", "component_id")
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left").select(
+    of_key = groups.join(of_root, "root").join(nodes.select("node", "key"), "node").select("key", "component_id")
+    return sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
