@@ -35,9 +35,10 @@ def years_since_base(year: Column) -> Column:
 
 
 def month_label(month: Column) -> Column:
-    """Short month name; numbers outside 1..12 take the nearest end."""
+    """Short month name; numbers outside 1..12 take the nearest end, no month has none."""
     slot = F.greatest(F.lit(1), F.least(F.lit(len(MONTH_LABELS)), month.cast("int")))
-    return F.element_at(F.array(*map(F.lit, MONTH_LABELS)), slot)
+    # least and greatest pass over nulls
+    return F.when(month.isNotNull(), F.element_at(F.array(*map(F.lit, MONTH_LABELS)), slot))
 
 
 def month_index(year: Column, month: Column) -> Column:

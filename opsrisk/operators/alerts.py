@@ -30,12 +30,18 @@ def capacity_alerts(forecast: DataFrame, limit: int = CAPACITY_LIMIT) -> DataFra
     )
 
 
-def forecast_totals(forecast: DataFrame) -> DataFrame:
-    """Sum and peak of each forecast; an empty forecast has a peak of 0."""
-    return forecast.groupBy("series_key").agg(
-        F.sum("predicted_footfall").alias("total_footfall"),
-        F.coalesce(F.max("predicted_footfall"), F.lit(0)).alias("peak_footfall"),
+def forecast_totals(forecast: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """Sum and peak of each forecast.
+
+    With ``series``, the keys that were to be forecast, a series without any
+    forecast day has a sum and a peak of 0.
+    """
+    totals = forecast.groupBy("series_key").agg(
+        F.sum("predicted_footfall").alias("total_footfall"), F.max("predicted_footfall").alias("peak_footfall")
     )
+    if series is not None:
+        totals = series.select("series_key").distinct().join(totals, "series_key", "left")
+    return totals.na.fill(0, ["total_footfall", "peak_footfall"])
 
 
 def risk_counts_before(

@@ -103,7 +103,8 @@ def delay_histogram(rows: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
 
 def delay_by_month(rows: DataFrame) -> DataFrame:
     return (
-        rows.groupBy("month")
+        rows.filter("month IS NOT NULL")
+        .groupBy("month")
         .agg(
             F.avg("delay_rate").alias("mean_rate"),
             F.stddev_samp("delay_rate").alias("std_rate"),
@@ -131,7 +132,8 @@ def delay_by_carrier(rows: DataFrame, min_rows: int = MIN_CARRIER_ROWS) -> DataF
         .agg(F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("n"))
         .withColumn("mean_rate", F.try_divide("rate_sum", "n"))
     )
-    kept = stats.filter(F.col("n") >= min_rows)
+    # rows without a carrier are in the mean over all rows only
+    kept = stats.filter((F.col("n") >= min_rows) & F.col("carrier").isNotNull() & F.col("carrier_name").isNotNull())
     mean_of_kept = kept.agg(F.avg("mean_rate")).scalar()
     overall = stats.agg(F.try_divide(F.sum("rate_sum"), F.sum("n"))).scalar()
     return kept.select(
@@ -145,7 +147,7 @@ def delay_by_carrier(rows: DataFrame, min_rows: int = MIN_CARRIER_ROWS) -> DataF
 
 
 def delay_by_year(rows: DataFrame, annotated_year: int = ANNOTATED_YEAR) -> DataFrame:
-    stats = rows.groupBy("year").agg(
+    stats = rows.filter("year IS NOT NULL").groupBy("year").agg(
         F.avg("delay_rate").alias("mean"),
         F.stddev_samp("delay_rate").alias("std"),
         F.count("delay_rate").alias("n"),
@@ -187,7 +189,8 @@ def delay_causes(featured: DataFrame) -> DataFrame:
 def top_carriers(rows: DataFrame, k: int = TOP_CARRIERS) -> DataFrame:
     """The carriers with the most rows; equal counts go by name."""
     return (
-        rows.groupBy("carrier_name")
+        rows.filter("carrier_name IS NOT NULL")
+        .groupBy("carrier_name")
         .agg(F.count("delay_rate").alias("n"))
         .orderBy(F.desc("n"), "carrier_name")
         .limit(k)
@@ -211,7 +214,8 @@ def delay_heatmap(rows: DataFrame, top: int = TOP_CARRIERS) -> DataFrame:
         for number, label in enumerate(MONTH_LABELS, start=1)
     ]
     return (
-        rows.groupBy("carrier_name")
+        rows.filter("carrier_name IS NOT NULL")
+        .groupBy("carrier_name")
         .agg(F.count("delay_rate").alias("n"), *by_month)
         .orderBy(F.desc("n"), "carrier_name")
         .limit(top)
@@ -225,13 +229,13 @@ def delay_extremes(rows: DataFrame) -> DataFrame:
         F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("rate_rows")
     )
     mean = F.round(F.try_divide(F.sum("rate_sum"), F.sum("rate_rows")), 12).alias("mean")
-    months = pairs.groupBy("month").agg(mean).select(
+    months = pairs.filter("month IS NOT NULL").groupBy("month").agg(mean).select(
         F.lit("month").alias("dimension"),
         F.col("month").alias("position"),
         month_label(F.col("month")).alias("name"),
         "mean",
     )
-    carriers = pairs.groupBy("carrier_name").agg(mean).select(
+    carriers = pairs.filter("carrier_name IS NOT NULL").groupBy("carrier_name").agg(mean).select(
         F.lit("carrier").alias("dimension"),
         F.lit(0).alias("position"),
         F.col("carrier_name").alias("name"),

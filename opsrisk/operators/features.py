@@ -56,17 +56,20 @@ def add_group_averages_by_window(cleaned: DataFrame) -> DataFrame:
     """The same averages with window functions over the airport-carrier pairs.
 
     The windows see one row per pair and not the rows themselves, however many a
-    key has, and one join attaches both averages. It needs both keys on each row.
+    key has. Each average is joined by its own key, so a row that lacks the other
+    key has it all the same.
     """
     pairs = group_sums(cleaned, ["airport", "carrier"], "delay_rate")
-    averages = {}
+    out = cleaned
     for key in ("airport", "carrier"):
         whole = Window.partitionBy(key)
-        averages[f"{key}_avg_delay_rate"] = F.try_divide(
-            F.sum("value_sum").over(whole), F.sum("value_rows").over(whole)
+        means = pairs.filter(F.col(key).isNotNull()).select(
+            key,
+            F.try_divide(F.sum("value_sum").over(whole), F.sum("value_rows").over(whole)).alias(f"{key}_avg_delay_rate"),
+            F.sum("value_rows").over(whole).alias("value_rows"),
         )
-    means = pairs.withColumns(averages).drop("value_sum")
-    return attach_group_values(cleaned, means, ["airport", "carrier"], "value_rows")
+        out = attach_group_values(out, means.distinct(), [key], "value_rows")
+    return out
 
 
 def prior_month_means(cleaned: DataFrame, key: str) -> DataFrame:

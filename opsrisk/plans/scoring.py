@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,36 @@ from opsrisk.sources.seeds import seed_for
 
 
 def scored_requests(requests: DataFrame, model: PipelineModel, model_version: str = MODEL_VERSION) -> DataFrame:
-    """Scored rows of the valid requests; also applies to streams."""
-    checked = validation.validate(validation.derive_features(requests))
+    """Scored rows of the valid requests; also applies to streams.
+
+    Requests are judged as they come: nothing that a rule asks for is filled in.
+    """
+    checked = validation.validate(requests)
     return delay_model.score(validation.valid_rows(checked), model, model_version)
 
 
+def outcomes(requests: DataFrame) -> DataFrame:
+    """Every request with ``accepted`` and, if it is refused, the ``message`` of the rules it breaks."""
+    message = F.when(~F.col("is_valid"), F.array_join("violations", ", "))
+    return validation.validate(requests).select("*", F.col("is_valid").alias("accepted"), message.alias("message"))
+
+
+def refused_path(history_path: str) -> str:
+    """Where refused requests are kept, beside the history."""
+    return f"{history_path.rstrip('/')}-refused"
+
+
+def store_refused(requests: DataFrame, history_path: str, batch: str) -> None:
+    """Keep the refused requests of a batch with their messages; a batch that is repeated replaces itself."""
+    refused = validation.quarantine(validation.validate(requests))
+    refused.write.mode("overwrite").parquet(f"{refused_path(history_path)}/batch={batch}")
+
+
+def read_refused(spark: SparkSession, history_path: str) -> DataFrame:
+    """All refused requests, with the batch they came in."""
+    return spark.read.parquet(refused_path(history_path))
+
+
 def to_history(scored: DataFrame) -> DataFrame:
     """History columns of scored requests, year and month as whole numbers."""
     return scored.withColumns(
@@ -31,7 +57,13 @@ def to_history(scored: DataFrame) -> DataFrame:
 def score_batch(
     requests: DataFrame, model: PipelineModel, history_path: str, batch: str | None = None
 ) -> DataFrame:
-    """Score requests, store the predictions and return the responses under public names."""
+    """Score requests, store the predictions and return the responses under public names.
+
+    Refused requests are stored beside the history, so that each request is in
+    one of the two tables.
+    """
+    batch = batch or uuid4().hex
+    store_refused(requests, history_path, batch)
     stored = append_history(to_history(scored_requests(requests, model)), history_path, batch)
     return validation.to_public_names(stored)
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from opsrisk.constants import HIGH_RISK_PROBABILITY
 from opsrisk.operators import alerts, history
-from opsrisk.plans.scoring import scored_requests, to_history
+from opsrisk.plans.scoring import scored_requests, store_refused, to_history
 from opsrisk.sources.history_store import append_history
 
 WATERMARK = "1 hour"
@@ -29,9 +29,10 @@ def timed(predictions: DataFrame) -> DataFrame:
 
 
 def scoring_writer(requests: DataFrame, model: PipelineModel, history_path: str) -> DataStreamWriter:
-    """Score every arriving request and add it to the history, one folder per micro-batch."""
+    """Score every arriving request and add it to the history, one folder per micro-batch; refused ones go beside it."""
 
     def store(batch: DataFrame, number: int) -> None:
+        store_refused(batch, history_path, f"{number:012d}")
         append_history(to_history(scored_requests(batch, model)), history_path, f"{number:012d}")
 
     return requests.writeStream.foreachBatch(store)

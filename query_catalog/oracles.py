@@ -308,6 +308,11 @@ oracle("quarantined_requests", """
 SELECT r.request_id, year, month, arr_flights, m.message FROM requests r JOIN m ON m.request_id = r.request_id""",
        ["broken"])
 
+oracle("scoring_outcome", """
+, m AS (SELECT request_id, string_agg(message, ', ' ORDER BY pos) AS message FROM broken GROUP BY request_id)
+SELECT r.request_id, m.message IS NULL AS accepted, m.message FROM requests r LEFT JOIN m ON m.request_id = r.request_id""",
+       ["broken"])
+
 oracle("derived_requests", """
 , g AS (SELECT *, (year(ts) - user_id % 9)::DOUBLE AS y, (1 + event_id % 12)::DOUBLE AS m FROM events)
 SELECT event_id AS request_id, y AS year, m AS month,

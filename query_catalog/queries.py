@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsrisk.constants import MODEL_VERSION
+from opsrisk.constants import MODEL_FEATURES, MODEL_VERSION
 from opsrisk.operators import (
     alerts,
     cleaning,
@@ -228,6 +228,12 @@ def quarantined_requests(spark: SparkSession, folder: str) -> DataFrame:
     return rejected.select("request_id", "year", "month", "arr_flights", "message")
 
 
+@query
+def scoring_outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of every request of the scoring job: accepted, or refused with its message."""
+    return scoring.outcomes(testdata.score_requests(spark, folder)).select("request_id", "accepted", "message")
+
+
 @query
 def derived_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Calendar features left empty for some events and filled from year and month."""
@@ -590,7 +596,7 @@ def delay_score(spark: SparkSession, folder: str) -> DataFrame:
     The classifier learns from averages over earlier months only.
     """
     rows = delay_model.learning_rows(
-        features.add_features(stored_cells(spark, folder), averages="asof").na.drop()
+        features.add_features(stored_cells(spark, folder), averages="asof").na.drop(subset=list(MODEL_FEATURES))
     )
     path = scratch_path(spark, "delay-model")
     models.save_delay_model(delay_model.fit(rows), path)

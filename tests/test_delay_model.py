@@ -92,6 +92,16 @@ def test_batch_scoring_stores_and_answers(spark, pipeline, folder):
     assert sorted(r["historyId"] for r in answers.collect()) == [1, 2]
     stored = history_store.read_history(spark, f"{folder}/history")
     assert sorted(r["flight_month"] for r in stored.collect()) == [2, 7]
+    assert scoring.read_refused(spark, f"{folder}/history").count() == 1
+
+
+def test_nothing_that_is_required_is_filled_in(spark, pipeline, folder):
+    _, _, model, _ = pipeline
+    good = requests(spark, HIGH)
+    for gap in ("is_summer", "is_winter_holiday", "years_since_2013"):
+        row = good.withColumn(gap, F.lit(None).cast("double"))
+        assert scoring.scored_requests(row, model).count() == 0
+        assert [tuple(r) for r in scoring.outcomes(row).select("accepted", "message").collect()] == [(False, f"{gap} is required")]
 
 
 def test_seeding_happens_once(spark, pipeline, folder):
@@ -133,8 +143,11 @@ def test_scan_stores_its_alert(spark, folder):
 
 def test_asof_features_train_too(spark):
     rows = spark.createDataFrame(raw_rows(600), RAW_SCHEMA).withColumn("delay_rate", F.col("arr_del15") / F.col("arr_flights"))
-    featured = features.add_features(rows, "asof").na.drop()
-    learning = delay_model.learning_rows(featured)
+    featured = features.add_features(rows, "asof")
+    known = featured.na.drop(subset=list(MODEL_FEATURES))
+    learning = delay_model.learning_rows(known)
+    # no row is lost but for what the model reads
+    assert learning.count() == featured.filter("airport_avg_delay_rate IS NOT NULL AND carrier_avg_delay_rate IS NOT NULL").count()
     assert set(MODEL_FEATURES) <= set(learning.columns)
     assert delay_model.fit(learning, delay_model.BoostingSettings(trees=2, depth=2)).stages[-1].getNumTrees == 2
 

@@ -171,6 +171,8 @@ def test_empty_forecast_has_no_rows(spark):
     empty = spark.createDataFrame([], "series_key string, ds date, predicted_footfall bigint")
     assert alerts.capacity_alerts(empty).count() == 0
     assert alerts.forecast_totals(empty).count() == 0
+    asked = spark.createDataFrame([("a",)], "series_key string")
+    assert [tuple(r) for r in alerts.forecast_totals(empty, asked).collect()] == [("a", 0, 0)]
 
 
 def test_traffic_job(spark):
