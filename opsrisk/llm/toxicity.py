@@ -27,8 +27,8 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def marked(words: Iterable[str]) -> str:
-    """Words with their ends marked, as the groups of characters see them; of giant words the beginning."""
-    return "".join([f"^{w[:60]}$" for w in words])
+    """Whole words with their ends marked, as the groups of characters see them."""
+    return "".join([f"^{w}$" for w in words])
 
 
 def features(word: str) -> list[str]:
