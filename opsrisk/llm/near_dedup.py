@@ -178,9 +178,9 @@ def _own(sets: DataFrame, members: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _unsettled(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` of the buckets that still hold several groups, with each node's ``root`` and ``own``."""
-    labelled = members.select("bucket", "node", "n").join(components(links), "node", "left")
+    labelled = members.select("bucket", "node", "n").join(groups, "node", "left")
     labelled = stored(labelled.withColumn("root", F.coalesce("root", "node")), "near-labels")
     several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     left = stored(labelled.join(several.select("bucket"), "bucket", "left_semi"), "near-members")
@@ -260,7 +260,10 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         if step < ROUNDS:
-            members = _unsettled(members, links, full)
+            groups = components(links)
+            members = _unsettled(members, groups, full)
+            # from here on a group is its star: the next rounds add to that and don't find it again
+            links = groups.where("node <> root").selectExpr("node AS u", "root AS v")
     if links is None:
         groups = nodes.select("node", "least_id", F.col("node").alias("root"))
     else:
