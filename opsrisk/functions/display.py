@@ -50,11 +50,11 @@ def capacity_message(day: Column, footfall: Column, limit: int) -> Column:
     )
 
 
-def risk_scan_message(count: Column, probability: float) -> Column:
+def risk_scan_message(count: Column, probability: float, hours: int = 24) -> Column:
     return F.concat(
         count.cast("string"),
         F.lit(
-            " high-risk delay predictions detected in the last 24 hours "
+            f" high-risk delay predictions detected in the last {hours} hours "
             f"(probability >= {int(probability * 100)}%). Immediate review recommended."
         ),
     )

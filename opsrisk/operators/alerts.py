@@ -60,7 +60,7 @@ def risk_scan(
     return counted.filter(F.col("high_risk") > 0).select(
         F.lit("risk_scan").alias("alert_type"),
         F.lit(RISK_SCAN_SUBJECT).alias("subject"),
-        risk_scan_message(F.col("high_risk"), probability).alias("message"),
+        risk_scan_message(F.col("high_risk"), probability, hours).alias("message"),
         F.lit(as_of).cast("timestamp_ntz").alias("event_time"),
         F.lit(as_of).alias("ref_id"),
         "predictions",

@@ -47,8 +47,8 @@ def add_group_averages(cleaned: DataFrame) -> DataFrame:
         sums = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(
             F.sum("value_sum").alias("value_sum"), F.sum("value_rows").alias("value_rows")
         )
-        means = sums.select(key, _mean().alias(f"{key}_avg_delay_rate"), "value_rows")
-        out = attach_group_values(out, means, [key], "value_rows")
+        means = sums.select(key, _mean().alias(f"{key}_avg_delay_rate"))
+        out = attach_group_values(out, means, [key])
     return out
 
 
@@ -66,9 +66,8 @@ def add_group_averages_by_window(cleaned: DataFrame) -> DataFrame:
         means = pairs.filter(F.col(key).isNotNull()).select(
             key,
             F.try_divide(F.sum("value_sum").over(whole), F.sum("value_rows").over(whole)).alias(f"{key}_avg_delay_rate"),
-            F.sum("value_rows").over(whole).alias("value_rows"),
         )
-        out = attach_group_values(out, means.distinct(), [key], "value_rows")
+        out = attach_group_values(out, means.distinct(), [key])
     return out
 
 
@@ -89,7 +88,6 @@ def prior_month_means(cleaned: DataFrame, key: str) -> DataFrame:
         F.try_divide(F.sum("value_sum").over(before), F.sum("value_rows").over(before)).alias(
             f"{key}_avg_delay_rate"
         ),
-        "value_rows",
     )
 
 
@@ -97,7 +95,7 @@ def add_prior_averages(cleaned: DataFrame) -> DataFrame:
     """Airport and carrier averages that look only at earlier months."""
     out = cleaned.withColumn("month_idx", month_index(F.col("year"), F.col("month")))
     for key in ("airport", "carrier"):
-        out = attach_group_values(out, prior_month_means(cleaned, key), [key, "month_idx"], "value_rows")
+        out = attach_group_values(out, prior_month_means(cleaned, key), [key, "month_idx"])
     return out.drop("month_idx")
 
 

@@ -1,43 +1,23 @@
-"""Attaching small tables to large ones, whatever 'small' turns out to be."""
+"""Attaching group values to the rows they were made from."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsrisk.session import checkpointed
+from opsrisk.session import scratch_path
 
-# a row here is a key and a few numbers, some 100 bytes, so this is at most about 20 MB
-BROADCAST_ROWS = 200_000
 
-# a key with more than one row in HOT_SHARE of the table is hot; there are fewer than HOT_SHARE of them
-HOT_SHARE = 1_000
+def attach_group_values(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Left-join one row per key onto ``rows``.
 
-
-def attach_group_values(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    weight: str,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Left-join one row per key onto ``rows``; ``weight`` is the number of rows the key has.
-
-    ``groups`` is computed once and counted. Up to ``max_rows`` it is broadcast,
-    so ``rows`` is neither shuffled nor sorted. Beyond that only the hot keys
-    are broadcast: keys that each hold more than 1/HOT_SHARE of the rows number
-    fewer than HOT_SHARE, whatever the data. All other keys take a shuffle join,
-    whose largest key then holds at most that share.
+    ``groups`` is computed once, as a table in the shared folder that is read
+    back without a hint. Spark broadcasts it if its measured size allows;
+    otherwise it is a shuffle join, whose hot keys adaptive execution splits.
     """
-    groups = checkpointed(groups)
-    values = groups.drop(weight)
-    if groups.count() <= max_rows:
-        return rows.join(F.broadcast(values), keys, "left")
-    total = groups.agg(F.sum(weight)).scalar()
-    hot = groups.filter(F.col(weight) * HOT_SHARE > total)
-    hot_rows = rows.join(F.broadcast(hot.drop(weight)), keys, "inner")
-    other_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return hot_rows.unionByName(other_rows.join(values, keys, "left"))
+    path = scratch_path(rows.sparkSession, "group-values")
+    groups.write.parquet(path)
+    return rows.join(rows.sparkSession.read.schema(groups.schema).parquet(path), keys, "left")
 
 
 def group_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -56,17 +56,20 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
 
     Each append is one folder named by ``batch``. Writing a batch again replaces
     it, so a job or micro-batch repeated after a failure leaves no duplicates.
-    The last id of each batch is noted before its rows are written: the next
-    append reads these notes and not the history, and a failure in between
-    leaves a gap in the ids, never an id given twice. There is one writer per
-    table.
+    The first and last id of each batch are noted before its rows are written:
+    the next append reads these notes and not the history. A batch that is
+    repeated, whatever came after it, gets the ids noted for it; if its number
+    of rows is another one, it is refused. There is one writer per table.
     """
     spark = predictions.sparkSession
     batch = batch or uuid4().hex
     rows = predictions
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.current_timestamp())
-    numbered, last = with_ids(rows, _last_id(spark, path, batch))
+    after, noted = _noted(spark, path, batch)
+    numbered, last = with_ids(rows, after)
+    if noted is not None and last != noted:
+        raise ValueError(f"batch {batch!r} had {noted - after} rows and now has {last - after}")
     complete = numbered.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA)
     )
@@ -74,20 +77,30 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
     checked = complete.withColumn(
         "status", F.expr(f"IF({missing}, raise_error('history columns must not be null'), status)")
     )
-    note = spark.createDataFrame([(last,)], "last_id bigint")
-    note.write.mode("overwrite").parquet(f"{path}/{_NOTES}/batch={batch}")
+    if noted is None:
+        note = spark.createDataFrame([(after + 1, last)], "first_id bigint, last_id bigint")
+        note.write.mode("overwrite").parquet(f"{path}/{_NOTES}/batch={batch}")
     checked.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return spark.read.schema(HISTORY_SCHEMA).parquet(f"{path}/batch={batch}")
 
 
-def _last_id(spark: SparkSession, path: str, batch: str) -> int:
-    """The highest id of the other batches; this one's are about to be given anew."""
+def _noted(spark: SparkSession, path: str, batch: str) -> tuple[int, int | None]:
+    """The id after which a batch's ids begin, and the last one noted for it, if it was written before."""
     notes = f"{path}/{_NOTES}"
     if not path_exists(spark, notes):
-        return 0
-    table = spark.read.schema("last_id bigint, batch string").parquet(notes)
-    others = table.filter(F.col("batch") != batch)
-    return others.agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+        return 0, None
+    own = F.col("batch") == batch
+    row = (
+        spark.read.schema("first_id bigint, last_id bigint, batch string")
+        .parquet(notes)
+        .agg(
+            F.max(F.when(own, F.col("first_id"))).alias("own_first"),
+            F.max(F.when(own, F.col("last_id"))).alias("own_last"),
+            F.coalesce(F.max("last_id"), F.lit(0)).alias("last_of_all"),
+        )
+        .first()
+    )
+    return (row.last_of_all, None) if row.own_first is None else (row.own_first - 1, row.own_last)
 
 
 def read_history_jdbc(

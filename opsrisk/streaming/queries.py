@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from opsrisk.constants import HIGH_RISK_PROBABILITY
 from opsrisk.operators import alerts, history
 from opsrisk.plans.scoring import scored_requests, store_refused, to_history
+from opsrisk.session import path_exists
 from opsrisk.sources.history_store import append_history
 
 WATERMARK = "1 hour"
@@ -49,14 +50,35 @@ def risk_window_stream(
     return alerts.risk_windows(timed(predictions), length, slide, start, probability)
 
 
-def alert_stream(predictions: DataFrame, probability: float = HIGH_RISK_PROBABILITY) -> DataFrame:
-    """One alert per prediction at or above the probability, however often it arrives."""
-    once = (
-        timed(predictions)
-        .filter(F.col("high_delay_probability") >= probability)
-        .dropDuplicatesWithinWatermark(["id"])
-    )
-    return alerts.monitoring_alerts(once, probability)
+def alert_writer(predictions: DataFrame, path: str, probability: float = HIGH_RISK_PROBABILITY) -> DataStreamWriter:
+    """One alert per prediction at or above the probability, however often and however late it arrives.
+
+    Alerts are kept by day. A micro-batch looks for its ids only in the days it
+    touches, adds the new ones as a folder of its own, and replaces that folder
+    when it is repeated, so neither a watermark nor stream state is needed.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{number:012d}"
+        raised = alerts.monitoring_alerts(batch, probability).dropDuplicates(["ref_id"])
+        raised = raised.withColumn("day", F.to_date("event_time"))
+        if path_exists(spark, path):
+            earlier = _alert_table(spark, path, raised.schema).filter(F.col("batch") != own)
+            earlier = earlier.join(raised.select("day").distinct(), "day", "left_semi")
+            raised = raised.join(earlier.select("day", "ref_id"), ["day", "ref_id"], "left_anti")
+        raised.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={own}")
+
+    return predictions.writeStream.foreachBatch(store)
+
+
+def _alert_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema, T.StructField("batch", T.StringType())])).parquet(path)
+
+
+def read_alerts(spark: SparkSession, path: str, predictions: DataFrame) -> DataFrame:
+    """The alerts that ``alert_writer`` has stored of ``predictions``."""
+    kind = alerts.monitoring_alerts(predictions).schema
+    return _alert_table(spark, path, kind).select(*kind.names)
 
 
 def table_writer(stream: DataFrame, path: str) -> DataStreamWriter:

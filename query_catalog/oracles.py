@@ -561,3 +561,4 @@ oracle("history_append", """
 , c AS (SELECT status, count(*) AS n FROM past GROUP BY status)
 SELECT status, n, n AS ids, CASE status WHEN 'disruption_risk' THEN 1 ELSE 1 + (SELECT n FROM c WHERE status = 'disruption_risk') END::BIGINT AS first_id,
        CASE status WHEN 'disruption_risk' THEN n ELSE (SELECT sum(n) FROM c) END::BIGINT AS last_id FROM c""", ["past"])
+ORACLES["history_replay"] = ORACLES["history_append"]

@@ -495,10 +495,9 @@ def stream_risk_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "alerts")
-    raised = streams.alert_stream(event_stream(spark, folder))
-    streams.run_available(streams.table_writer(raised, f"{path}/table"), f"{path}/checkpoint")
-    table = spark.read.schema(raised.schema).parquet(f"{path}/table")
-    return table.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    predictions = event_stream(spark, folder)
+    streams.run_available(streams.alert_writer(predictions, f"{path}/table"), f"{path}/checkpoint")
+    return streams.read_alerts(spark, f"{path}/table", predictions)
 
 
 @query
@@ -579,6 +578,22 @@ def history_append(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def history_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches, then the first one again, with the ids it had."""
+    path = scratch_path(spark, "history")
+    rows = testdata.prediction_history(spark, folder)
+    for prediction in (1, 0, 1):
+        part = rows.filter(F.col("high_delay_prediction") == prediction)
+        history_store.append_history(part, path, f"prediction-{prediction}")
+    return history_store.read_history(spark, path).groupBy("status").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
+
+
 # --- delay model --------------------------------------------------------------------------------
 
 

@@ -84,18 +84,27 @@ def test_asof_averages_look_only_back(spark):
         features.add_features(cleaned, "later")
 
 
-def test_large_group_tables_take_the_other_join(spark):
+def test_group_values_without_broadcasting(spark):
     # a third of the rows has one key, and some have none
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, None)
         .otherwise((F.col("id") % 700).cast("string")).alias("k"),
         F.col("id").cast("double").alias("v"),
     )
-    groups = rows.filter("k IS NOT NULL").groupBy("k").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-    small = attach_group_values(rows, groups, ["k"], "n")
-    large = attach_group_values(rows, groups, ["k"], "n", max_rows=0)
-    assert small.count() == large.count() == 3000
-    assert sorted(small.fillna("", ["k"]).collect(), key=str) == sorted(large.fillna("", ["k"]).collect(), key=str)
+    groups = rows.filter("k IS NOT NULL").groupBy("k").agg(F.avg("v").alias("m"))
+    small = sorted(attach_group_values(rows, groups, ["k"]).fillna("", ["k"]).collect(), key=str)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        joined = attach_group_values(rows, groups, ["k"])
+        large = sorted(joined.fillna("", ["k"]).collect(), key=str)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert len(small) == 3000 and small == large
 
 
 def test_window_and_join_averages_agree(spark):

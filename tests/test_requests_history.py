@@ -137,6 +137,18 @@ def test_repeated_append_replaces_itself(spark, folder):
     assert ids == list(range(1, 101))
 
 
+def test_replayed_batch_keeps_its_ids(spark, folder):
+    path = f"{folder}/history"
+    rows = {k: past(spark, *((0, k + i / 100, "2024-01-01 00:00:00") for i in range(50))) for k in (0, 1)}
+    for k, batch in ((0, "a"), (1, "b"), (0, "a")):
+        history_store.append_history(rows[k], path, batch)
+    got = history_store.read_history(spark, path).select("id", "high_delay_probability").collect()
+    assert sorted(r["id"] for r in got if r["high_delay_probability"] < 1) == list(range(1, 51))
+    assert sorted(r["id"] for r in got if r["high_delay_probability"] >= 1) == list(range(51, 101))
+    with pytest.raises(ValueError, match="had 50 rows and now has 49"):
+        history_store.append_history(rows[0].limit(49), path, "a")
+
+
 def test_appending_nothing(spark, folder):
     path = f"{folder}/history"
     history_store.append_history(past(spark), path)

@@ -79,9 +79,17 @@ def test_alerts_are_raised_once(spark, tmp_path, folder):
         [(1, 1.0, 90.0), (2, 1.1, 20.0)],
         [(1, 1.0, 90.0), (3, 1.2, 65.0)],  # the first one arrives again
     )
-    raised = streams.alert_stream(stream_of(spark, source))
-    streams.run_available(streams.table_writer(raised, f"{folder}/out"), f"{folder}/cp")
-    assert sorted(r["ref_id"] for r in spark.read.schema(raised.schema).parquet(f"{folder}/out").collect()) == ["1", "3"]
+    predictions = stream_of(spark, source)
+    streams.run_available(streams.alert_writer(predictions, f"{folder}/out"), f"{folder}/cp")
+    assert sorted(r["ref_id"] for r in streams.read_alerts(spark, f"{folder}/out", predictions).collect()) == ["1", "3"]
+
+
+def test_late_predictions_raise_alerts(spark, tmp_path, folder):
+    source = str(tmp_path / "events")
+    write_events(spark, source, [(1, 10.0, 90.0)], [(2, 40.0, 20.0)], [(3, 11.0, 99.0)], [(4, 80.0, 90.0), (1, 10.0, 90.0)])
+    predictions = stream_of(spark, source)
+    streams.run_available(streams.alert_writer(predictions, f"{folder}/out"), f"{folder}/cp")
+    assert sorted(r["ref_id"] for r in streams.read_alerts(spark, f"{folder}/out", predictions).collect()) == ["1", "3", "4"]
 
 
 def test_restart_goes_on_where_it_stopped(spark, source, folder, tmp_path):
