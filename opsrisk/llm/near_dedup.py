@@ -20,8 +20,6 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Pairs whose signatures agree in a share that is smaller than the similarity asked for by this much are not looked at
 #: further: five standard deviations of 300 values.
 MARGIN = 0.12
-#: Rounds in which buckets compare their members with one of them, before those that may still be linked are compared.
-ROUNDS = 2
 #: Buckets of up to so many unsettled members are compared pair by pair, larger ones as blocks of so many members.
 PAIRWISE, BLOCK = 64, 2048
 
@@ -193,6 +191,13 @@ def _possible(a: str, b: str, percent: int) -> str:
     return f"100 * {common} >= {percent} * ({a}n + {b}n - {common})"
 
 
+def _pairs(some: DataFrame, others: DataFrame, which: str, percent: int) -> DataFrame:
+    """Distinct pairs (``u``, ``v``) of a bucket's nodes that may be linked and are in different groups."""
+    both = F.expr(f"a.bucket = b.bucket AND {which} AND a.root <> b.root AND {_possible('a.', 'b.', percent)}")
+    met = some.alias("a").join(others.alias("b"), both)
+    return met.select(F.expr("least(a.node, b.node)").alias("u"), F.expr("greatest(a.node, b.node)").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -204,9 +209,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Candidates share a band of their min-max signatures; every link is confirmed
     on the full sets. Equal sets are one node, whatever the number of copies. In a
-    bucket each node is compared with a leader. After a few rounds nodes are
-    compared with each other, but only those that no chain of links joins yet and
-    that have enough shingles that others have, too.
+    bucket each node is compared with a leader. Then nodes are compared with each
+    other, but only those that no chain of links joins yet and that have enough
+    shingles that others have, too.
 
     Null and wordless texts have no shingles and stand alone. Rows of one doc_id
     may differ; each has its own set. Rows without a doc_id link others, belong
@@ -214,12 +219,16 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rows are kept or not together. Other columns are ignored. An empty table gives
     an empty one.
     """
-    sets = stored(_sets(docs, size), "near-shingles")
+    sets = stored(_sets(docs, size).withColumn("row", F.monotonically_increasing_id()), "near-shingles")
+    # a set is known by the first of its rows
     nodes = stored(
         sets.where("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()),
+        .agg(
+            F.min("row").alias("node"),
+            F.min("doc_id").alias("least_id"),
+            *(F.first(name).alias(name) for name in ("n", "bands", "sketch")),
+        ),
         "near-nodes",
     )
     rows = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
@@ -228,47 +237,22 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         rows.join(shared.select("bucket"), "bucket", "left_semi").selectExpr("*", "node AS root", "0L AS own"), "near-members"
     )
     # of the sets, only those that share a bucket are ever compared
-    keys = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    full = stored(
-        sets.select("key", "shingles").join(keys, "key").select("node", "shingles").dropDuplicates(["node"]), "near-sets"
-    )
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    for step in range(ROUNDS + 1):
-        if members.limit(1).count() == 0:
-            break
-        if step < ROUNDS:
-            # the leader has few shingles of its own: it is in the middle of what the bucket has in common
-            order = F.struct((F.col("own") / F.col("n")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "own", "root")
-            leaders = members.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", "x.*")
-            met = members.alias("a").join(
-                leaders.alias("b"), F.expr(f"a.bucket = b.bucket AND a.root <> b.root AND {_possible('a.', 'b.', percent)}")
-            )
-        else:
-            counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-            links = links.unionByName(_within(members.join(counts.where(f"k > {PAIRWISE}"), "bucket"), full, percent))
-            small = stored(members.join(counts.where(f"k <= {PAIRWISE}").select("bucket"), "bucket"), "near-members")
-            met = small.alias("a").join(
-                small.alias("b"),
-                F.expr(f"a.bucket = b.bucket AND a.node < b.node AND a.root <> b.root AND {_possible('a.', 'b.', percent)}"),
-            )
-        pairs = met.select(F.expr("least(a.node, b.node)").alias("u"), F.expr("greatest(a.node, b.node)").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "near-tried")
-        new = _linked(pairs, full, nodes, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        if step < ROUNDS:
-            groups = components(links)
-            members = _unsettled(members, groups, full)
-            # from here on a group is its star: the next rounds add to that and don't find it again
-            links = groups.where("node <> root").selectExpr("node AS u", "root AS v")
-    if links is None:
-        groups = nodes.select("node", "least_id", F.col("node").alias("root"))
-    else:
-        groups = nodes.select("node", "least_id").join(components(links), "node", "left")
-        groups = groups.withColumn("root", F.coalesce("root", "node"))
+    full = stored(_full(sets.select(F.col("row").alias("node"), "shingles"), members.select("node").distinct()), "near-sets")
+
+    leaders = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "own", "root")).alias("x"))
+    led = stored(_pairs(members, leaders.select("bucket", "x.*"), "a.node <> b.node", percent), "near-tried")
+    groups = components(_linked(led, full, nodes, percent))
+    # from here on a group is its star: what follows adds to that and doesn't find it again
+    stars = groups.where("node <> root").selectExpr("node AS u", "root AS v")
+
+    members = _unsettled(members, groups, full)
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    blocks = _within(members.join(counts.where(f"k > {PAIRWISE}"), "bucket"), full, percent)
+    small = stored(members.join(counts.where(f"k <= {PAIRWISE}").select("bucket"), "bucket"), "near-members")
+    met = stored(_pairs(small, small, "a.node < b.node", percent).join(led, ["u", "v"], "left_anti"), "near-tried")
+    links = stars.unionByName(blocks).unionByName(_linked(met, full, nodes, percent))
+    groups = nodes.select("node", "least_id").join(components(links), "node", "left")
+    groups = groups.withColumn("root", F.coalesce("root", "node"))
     of_root = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_key = groups.join(of_root, "root").join(nodes.select("node", "key"), "node").select("key", "component_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left").select(
