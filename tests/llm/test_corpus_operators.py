@@ -197,6 +197,20 @@ def test_passages(spark, edges, empty):
     assert passages.passages(edges).count() == 0
 
 
+def test_two_passages_of_one_pair(spark):
+    rows, want = [], {}
+    for k, own in enumerate((40, 60, 100)):
+        one, two, doc, other = prose(100 + k, 60), prose(200 + k, 60), 10 + k, k
+        rows.append((other, one + [f"a{k}_{i}" for i in range(own)] + two))
+        rows.append((doc, [f"c{k}"] + one + [f"b{k}_{i}" for i in range(own)] + two))
+        want[doc] = [(1, 61, other, 0, 60, 60, 1.0), (61 + own, 121 + own, other, 60 + own, 120 + own, 60, 1.0)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = defaultdict(list)
+    for r in passages.passages(docs).orderBy("doc_id", "start").collect():
+        got[r.doc_id].append(tuple(r)[1:])
+    assert got == want
+
+
 def test_best_chain_is_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(30):
