@@ -211,6 +211,18 @@ def test_two_passages_of_one_pair(spark):
     assert got == want
 
 
+def test_passage_whose_halves_have_other_homes(spark):
+    shared = prose(5, 70)
+    rows = [
+        (1, prose(51, 90) + shared[:35] + prose(52, 40)),
+        (2, prose(53, 60) + shared[35:] + prose(54, 90)),
+        (3, ["x3"] + shared + ["y3"] + prose(55, 30)),
+        (4, prose(56, 30) + ["x4"] + shared + ["y4"]),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert [tuple(r) for r in passages.passages(docs).collect()] == [(4, 31, 101, 3, 1, 71, 70, 1.0)]
+
+
 def test_best_chain_is_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(30):
