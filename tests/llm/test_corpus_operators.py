@@ -223,6 +223,38 @@ def test_passage_whose_halves_have_other_homes(spark):
     assert [tuple(r) for r in passages.passages(docs).collect()] == [(4, 31, 101, 3, 1, 71, 70, 1.0)]
 
 
+def test_passages_with_edits_spread_are_brute_force(spark):
+    draw, rows, texts = random.Random(8), [], {}
+    for k, (n, every, kind) in enumerate(
+        [(40, 13, "change"), (60, 10, "change"), (100, 8, "change"), (200, 7, "change"), (100, 6, "change"), (104, 5, "change"),
+         (100, 6, "put in"), (100, 6, "leave out")] * 10
+    ):
+        shared = prose(1000 + k, n)
+        edited = {"change": lambda w: ["new"], "put in": lambda w: [w, "new"], "leave out": lambda w: []}[kind]
+        copy = [v for i, w in enumerate(shared) for v in (edited(w) if i % every == every - 1 and i < n - 1 else [w])]
+        for doc, words in ((k, shared), (1000 + k, copy)):
+            before = [f"o{draw.random()}" for _ in range(draw.randrange(30))]
+            texts[doc] = before + words + [f"o{draw.random()}" for _ in range(draw.randrange(30))]
+            rows.append((doc, " ".join(texts[doc]), len(before), len(words)))
+    got = {}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    for r in passages.passages(docs).collect():
+        assert r.doc_id == r.other_id + 1000 and r.doc_id not in got
+        got[r.doc_id] = r
+    for doc, _, start, n in rows[1::2]:
+        r = got[doc]  # it may leave out a few words at an end
+        assert abs(r.start - start) <= 6 and abs(r.end - start - n) <= 6
+        a, b = texts[doc][r.start : r.end], texts[r.other_id][r.other_start : r.other_end]
+        row = [0] * (len(b) + 1)
+        for w in a:
+            last = row
+            row = [0]
+            for j, v in enumerate(b):
+                row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
+        assert r.similarity == pytest.approx(2 * r.n_equal / (len(a) + len(b))) and r.similarity >= 0.8
+        assert 0 <= row[-1] - r.n_equal <= 2
+
+
 def test_best_chain_is_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(30):
