@@ -67,6 +67,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch_path(spark, "token-files"),
         public_tokenizers.path("byte_bpe_50k.json"),
         end_id=2,
+        added=True,
     )
     return token_files.read_token_files(index)
 

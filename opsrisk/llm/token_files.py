@@ -38,16 +38,18 @@ class PieceEncoder:
 
     Byte-level BPE merges inside the matches of its split pattern only. A match
     never spans a place where white space follows something else, so a text may
-    be cut there and the ids of its pieces joined.
+    be cut there and the ids of its pieces joined. With ``added`` the strings of
+    added tokens in a text give the ids of these, as is the library's default;
+    else they are ordinary text.
     """
 
     #: Pieces remembered, some 200 bytes each.
     LIMIT = 1_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= WIDE else "<u4"
         self.known: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}  # by the piece without its space
@@ -96,8 +98,8 @@ def _pieces(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, added: bool = False) -> PieceEncoder:
+    return PieceEncoder(path, added)
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -135,7 +137,7 @@ def _texts(batches: Iterable[pa.RecordBatch], most: int = 2_000_000) -> Iterator
         yield ids, texts
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, added: bool = False) -> DataFrame:
     """Encode ``text`` of every row, append ``end_id``, and write flat id files in ascending ``doc_id`` order.
 
     Each partition of the order is a file of ids, a file of 64-bit offsets (first
@@ -144,6 +146,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int) -
     their numbers of ids. Returns the index, one row per partition: ``part``,
     ``base``, ``n_docs``, ``width`` and the three files.
 
+    Strings of added tokens, as ``<|endoftext|>``, are ordinary text, unless
+    ``added`` asks for their ids, as the library's ``encode`` gives them.
+
     A null text is empty and gives the end id alone. Null doc_ids come first and
     are stored as the smallest 64-bit integer. Rows of equal doc_id are ordered
     by a hash of their text, equal rows in any order; both may span partitions.
@@ -167,7 +172,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int) -
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         file = f"{folder}/ids-{part:06d}-{uuid4().hex}.bin"
-        coder, out, place = encoder(tokenizer), None, 0
+        coder, out, place = encoder(tokenizer, added), None, 0
         end = np.array([end_id], coder.width).tobytes()
         size = len(end)
         for ids, texts in _texts(batches):

@@ -21,6 +21,7 @@ from opsrisk.llm import (
     neighbours,
     passages,
     quality,
+    queries,
     sharding,
     token_files,
     toxicity,
@@ -100,6 +101,15 @@ def test_token_files(spark, edges, empty, folder):
     assert token_files.read_token_files(token_files.write_token_files(empty, folder + "/b", path, 2)).count() == 0
 
 
+def test_token_file_query_gives_the_librarys_default_ids(spark, folder):
+    texts = ["end of file <|endoftext|> next", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|>", "x \n<|endoftext|>\t\ty  <|endof"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(folder + "/t/documents.parquet")
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [coder.encode(text, add_special_tokens=False).ids + [2] for text in texts]
+    got = [tuple(r)[2:] for r in queries.op7_token_files(spark, folder + "/t").orderBy("start").collect()]
+    assert got == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+
+
 def test_line_dedup(spark, edges, empty):
     common = "  This LINE is long enough to be looked at, ärger included\t"
     texts = [(k, f"own {k}\n{common}\n{common.upper() if k == 3 else common}\n") for k in range(6)]
