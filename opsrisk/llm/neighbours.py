@@ -210,13 +210,19 @@ def nearest(
         own = right["query_id"].to_pylist()
         rough = q @ x.T
         rough[np.array(own)[:, None] == ids[None, :]] = -np.inf
-        kth = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        # rows of one vec_id are one candidate, so the k-th is counted over the best of each
+        by_id = np.argsort(ids, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(ids[by_id]) != 0))
+        best_of = rough if len(heads) == len(ids) else np.maximum.reduceat(rough[:, by_id], heads, axis=1)
+        at = max(0, len(heads) - k)
+        kth = np.partition(best_of, at, axis=1)[:, at]
         out: list[tuple] = []
         for row, query_id in enumerate(own):
             # the product of matrices rounds by position: what is as near as the k-th is computed anew, alike everywhere
             near = np.flatnonzero((rough[row] >= kth[row] - 1e-9 * (1 + abs(kth[row]))) & np.isfinite(rough[row]))
             exact = (x[near] * q[row]).sum(1)
-            order = np.lexsort((ids[near], -exact))[: 2 * k]
+            order = np.lexsort((ids[near], -exact))
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][: 2 * k]
             out.append((query_id, ids[near][order].tolist(), exact[order].tolist()))
         return pa.Table.from_batches([batch_of(best, list(zip(*out, strict=True)))])
 

@@ -342,6 +342,18 @@ def test_neighbours_recall_and_order(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_ids_with_many_vectors(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(100, 16)).astype(np.float32)
+    near = (5 * x[0] + draw.normal(size=(90, 16)) / 10).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, v.tolist()) for v in near]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), leaf_rows=1000).where("query_id = 0").collect()
+    wide, own = x.astype(float), near.astype(float)
+    scores = {k: float(wide[k] @ wide[0]) for k in range(1, 100)}
+    scores[7] = max(scores[7], float((own @ wide[0]).max()))
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == sorted(scores, key=lambda k: (-scores[k], k))[:20]
+
+
 @pytest.fixture(scope="module")
 def taught(spark):
     draw = random.Random(9)
