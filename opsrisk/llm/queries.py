@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsrisk.llm import byte_bpe, decontamination, line_dedup, near_dedup, neighbours, passages, quality, sharding, token_files, toxicity
+from opsrisk.llm import (
+    byte_bpe,
+    decontamination,
+    line_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    passages,
+    quality,
+    sharding,
+    token_files,
+    toxicity,
+)
 from opsrisk.llm.common import table
 from opsrisk.session import scratch_path
 
@@ -86,3 +98,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digests(packing.packed(table(spark, sf_dir, "documents"), tokenizer, end_id=0, size=2048))
