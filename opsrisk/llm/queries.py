@@ -12,11 +12,13 @@ from opsrisk.llm import (
     decontamination,
     line_dedup,
     near_dedup,
+    negatives,
     neighbours,
     packing,
     passages,
     quality,
     sharding,
+    spelling,
     token_files,
     toxicity,
 )
@@ -104,3 +106,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.packed(table(spark, sf_dir, "documents"), tokenizer, end_id=0, size=2048))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
