@@ -14,6 +14,7 @@ from opsrisk.constants import (
     TOP_CARRIERS,
 )
 from opsrisk.functions.calendar import is_peak_month, month_label
+from opsrisk.operators.joins import stored_groups
 from opsrisk.operators.ordered import exact_quantiles
 
 def delay_profile(rows: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def delay_by_carrier(rows: DataFrame, min_rows: int = MIN_CARRIER_ROWS) -> DataF
     The comparison mean is that of the kept carriers, each counted once; the
     mean over all rows stands next to it.
     """
-    # all three uses read the same sums and counts, so Spark computes them once
-    stats = (
+    # all three uses read the same sums and counts, one row per carrier: they are written once
+    stats = stored_groups(
         rows.groupBy("carrier", "carrier_name")
         .agg(F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("n"))
         .withColumn("mean_rate", F.try_divide("rate_sum", "n"))
@@ -225,8 +226,11 @@ def delay_heatmap(rows: DataFrame, top: int = TOP_CARRIERS) -> DataFrame:
 
 def delay_extremes(rows: DataFrame) -> DataFrame:
     """Month and carrier with the highest and the lowest mean rate; ties go to the smaller key."""
-    pairs = rows.groupBy("month", "carrier_name").agg(
-        F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("rate_rows")
+    # both dimensions are means over the same pairs, which are written once
+    pairs = stored_groups(
+        rows.groupBy("month", "carrier_name").agg(
+            F.sum("delay_rate").alias("rate_sum"), F.count("delay_rate").alias("rate_rows")
+        )
     )
     mean = F.round(F.try_divide(F.sum("rate_sum"), F.sum("rate_rows")), 12).alias("mean")
     months = pairs.filter("month IS NOT NULL").groupBy("month").agg(mean).select(

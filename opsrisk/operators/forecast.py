@@ -8,9 +8,13 @@ only the small system of equations of a series is solved in Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,63 +69,104 @@ def _with_features(timed: DataFrame) -> DataFrame:
     return placed.withColumn("features", F.expr(f"array({', '.join(S.regression_features().values())})"))
 
 
+#: What a fit needs of a series: sums of products of its rows' features and logged values, as packed doubles.
+_SUMS = T.StructType(
+    [
+        T.StructField(S.KEY, T.StringType()),
+        T.StructField("start_ds", T.DateType()),
+        T.StructField("end_ds", T.DateType()),
+        T.StructField("sums", T.BinaryType()),
+    ]
+)
+
+#: Series whose sums a task holds at once, some 40 KB each.
+_SERIES_HELD = 500
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """Per task and series the sums of products of (1, features, z): all that least squares asks for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def sent() -> pa.RecordBatch:
+            rows = [(key, *ends, total.tobytes()) for key, (ends, total) in held.items()]
+            held.clear()
+            kinds = (pa.string(), pa.date32(), pa.date32(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _SUMS.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = pc.dictionary_encode(batch.column(S.KEY), null_encoding="encode")
+            number = coded.indices.to_numpy(zero_copy_only=False)
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            wide = np.column_stack([np.ones(len(x)), x, batch.column("z").to_numpy()])
+            for k, key in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(number == k)
+                first = int(own[0])
+                ends = (batch.column("start_ds")[first].as_py(), batch.column("end_ds")[first].as_py())
+                total = wide[own].T @ wide[own]
+                held[key] = (ends, held[key][1] + total if key in held else total)
+                if len(held) >= _SERIES_HELD:
+                    yield sent()
+        yield sent()
+
+    return rows.mapInArrow(run, _SUMS)
+
+
+def _solved(total: np.ndarray, widths: list[float]) -> tuple[float, np.ndarray, float]:
+    """Intercept, coefficients and noise of the ridge regression with these sums."""
+    n = total[0, 0]
+    centre = total[0, 1:] / n
+    moved = total[1:, 1:] - n * np.outer(centre, centre)
+    gram, right, spread = moved[:-1, :-1], moved[:-1, -1], max(moved[-1, -1], 0.0)
+    # the prior's weight depends on the noise, the noise on the fit: settle both
+    variance, beta = spread / n, np.zeros(len(gram))
+    for _ in range(10):
+        penalty = max(variance, 1e-12) / np.square(widths)
+        beta = np.linalg.solve(gram + np.diag(penalty), right)
+        residual = spread - 2 * beta @ right + beta @ gram @ beta
+        variance = max(residual, 0.0) / n
+    return float(centre[-1] - centre[:-1] @ beta), beta, float(np.sqrt(variance))
+
+
 def fit(series: DataFrame) -> DataFrame:
     """One row of coefficients per series.
 
-    Rows are first merged per series and day to a count and two sums, which is
-    all a least-squares fit needs. So however many rows a series has, the group
-    that is solved in one task holds its days at most.
+    Least squares needs of a series the sums of products of its rows only, about
+    2,600 numbers. Each task adds them up for its rows, so what is shuffled and
+    solved is one row of numbers per series and task, however many days or rows
+    a series has.
     """
-    logged = F.log(F.greatest(F.col("y").cast("double"), F.lit(1.0)))
-    daily = (
-        series.filter(F.col("y").isNotNull())
-        .groupBy(S.KEY, "ds")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(logged).alias("z"),
-            F.sum(logged * logged).alias("zz"),
-        )
-    )
-    rows = _with_features(S.with_training_range(daily)).select(
-        S.KEY, "start_ds", "end_ds", "n", "z", "zz", "features"
+    known = series.filter(F.col("y").isNotNull()).select(
+        S.KEY, "ds", F.log(F.greatest(F.col("y").cast("double"), F.lit(1.0))).alias("z")
     )
+    ranges = known.groupBy(S.KEY).agg(F.min("ds").alias("start_ds"), F.max("ds").alias("end_ds"))
+    rows = _with_features(S.with_group_range(known, ranges)).select(S.KEY, "start_ds", "end_ds", "z", "features")
     widths = _prior_widths()
     key = S.KEY
     bends = [i for i, name in enumerate(S.regression_features()) if name.startswith("bend_")]
 
-    def solve(days: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        n = days["n"].to_numpy(dtype=float)
-        total = n.sum()
-        x = np.stack(days["features"].to_numpy()).astype(float)
-        z = days["z"].to_numpy(dtype=float)
-        centre_x, centre_z = (n @ x) / total, z.sum() / total
-        moved = x - centre_x
-        gram = moved.T @ (moved * n[:, None])
-        right = moved.T @ (z - n * centre_z)
-        spread = days["zz"].sum() - total * centre_z**2
-        # the prior's weight depends on the noise, the noise on the fit: settle both
-        variance, beta = spread / total, np.zeros(x.shape[1])
-        for _ in range(10):
-            penalty = max(variance, 1e-12) / np.square(widths)
-            beta = np.linalg.solve(gram + np.diag(penalty), right)
-            residual = spread - 2 * beta @ right + beta @ gram @ beta
-            variance = max(residual, 0.0) / total
+    def solve(parts: pd.DataFrame) -> pd.DataFrame:
+        size = len(widths) + 2
+        total = sum(np.frombuffer(x, float).reshape(size, size) for x in parts["sums"])
+        intercept, beta, sigma = _solved(total, widths)
         return pd.DataFrame(
             {
-                key: [days[key].iloc[0]],
-                "start_ds": [days["start_ds"].iloc[0]],
-                "end_ds": [days["end_ds"].iloc[0]],
-                "train_rows": [int(total)],
-                "intercept": [float(centre_z - centre_x @ beta)],
+                key: [parts[key].iloc[0]],
+                "start_ds": [parts["start_ds"].iloc[0]],
+                "end_ds": [parts["end_ds"].iloc[0]],
+                "train_rows": [round(total[0, 0])],
+                "intercept": [intercept],
                 "coefficients": [beta.tolist()],
-                "sigma": [float(np.sqrt(variance))],
+                "sigma": [sigma],
                 "bend_scale": [float(np.abs(beta[bends]).mean())],
             }
         )
 
-    return rows.groupBy(S.KEY).applyInPandas(solve, MODEL_SCHEMA)
+    return _sums(rows).groupBy(S.KEY).applyInPandas(solve, MODEL_SCHEMA)
 
 
 def _dot(left: Column, right: Column) -> Column:
@@ -175,10 +220,15 @@ def forecast(model: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
 
 
 def evaluate(split: DataFrame) -> DataFrame:
-    """Fit on the rows before the holdout and measure on the holdout, per series."""
+    """Fit on the rows before the holdout and measure on the holdout, per series.
+
+    A series that is too short to have rows before its holdout is listed without
+    quality: ``n`` is 0, the errors are null.
+    """
     model = fit(split.filter("NOT is_holdout").select(S.KEY, "ds", "y"))
     held = split.filter("is_holdout").select(S.KEY, "ds", "y")
-    return forecast_metrics(predict(held.join(model, S.KEY)), by=S.KEY)
+    measured = forecast_metrics(predict(held.join(model, S.KEY)), by=S.KEY)
+    return split.select(S.KEY).distinct().join(measured, S.KEY, "left").na.fill(0, ["n"])
 
 
 def extrapolation(split: DataFrame) -> DataFrame:
@@ -194,10 +244,10 @@ def extrapolation(split: DataFrame) -> DataFrame:
 def training_meta(
     series: DataFrame, metrics: DataFrame, trained_on: str, model_version: str, holdout_days: int = HOLDOUT_DAYS
 ) -> DataFrame:
-    """One row per series: its quality, rows and date range."""
+    """One row per series: its quality (null if it has none), rows and date range."""
     return (
         S.traffic_profile(series)
-        .join(metrics.select(S.KEY, "mae", "mape_pct"), S.KEY)
+        .join(metrics.select(S.KEY, "mae", "mape_pct"), S.KEY, "left")
         .select(
             S.KEY,
             F.round("mae", 2).alias("mae"),

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from opsrisk.session import scratch_path
 
 
+def stored_groups(groups: DataFrame) -> DataFrame:
+    """One row per key, computed once as a table in the shared folder and read back."""
+    path = scratch_path(groups.sparkSession, "group-values")
+    groups.write.parquet(path)
+    return groups.sparkSession.read.schema(groups.schema).parquet(path)
+
+
 def attach_group_values(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Left-join one row per key onto ``rows``.
 
@@ -15,9 +22,7 @@ def attach_group_values(rows: DataFrame, groups: DataFrame, keys: list[str]) ->
     back without a hint. Spark broadcasts it if its measured size allows;
     otherwise it is a shuffle join, whose hot keys adaptive execution splits.
     """
-    path = scratch_path(rows.sparkSession, "group-values")
-    groups.write.parquet(path)
-    return rows.join(rows.sparkSession.read.schema(groups.schema).parquet(path), keys, "left")
+    return rows.join(stored_groups(groups), keys, "left")
 
 
 def group_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsrisk.constants import DELAY_LABEL_THRESHOLD, LEAK_COLUMNS
 from opsrisk.functions.rates import binary_label
-from opsrisk.operators.ordered import cumulative_counts
+from opsrisk.operators.ordered import values_at
 
 LABEL = "high_delay"
 
@@ -46,37 +48,32 @@ def with_exact_split(
     The test rows are the fraction of all rows, rounded up; each class gives its
     part rounded down and the class with the larger remainder one more. Every
     row draws a number in [0, 1) from the digest of its key, and the smallest
-    draws of a class are its test rows. The limits come from running totals over
-    intervals of the draws, so no class is sorted in one task.
+    draws of a class are its test rows. Only the greatest of these is looked for,
+    by counting, so nothing is sorted and no row moves.
     """
     # 52 bits are a whole number a double holds exactly
     draw = F.conv(F.substring(_digest(keys, seed), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     drawn = rows.withColumn("_draw", draw)
-    flags = drawn.select(
-        "_draw",
-        (F.col(label) == 1).cast("bigint").alias("pos"),
-        (F.col(label) == 0).cast("bigint").alias("neg"),
-    )
-    n = F.col("pos_total") + F.col("neg_total")
-    tests = F.ceil(n * F.lit(test_fraction))
-    parts = {c: F.floor(F.col(f"{c}_total") * tests / n) for c in ("pos", "neg")}
-    rest = {c: F.col(f"{c}_total") * tests / n - parts[c] for c in ("pos", "neg")}
-    spare = tests - parts["pos"] - parts["neg"]
-    to_pos = rest["pos"] >= rest["neg"]
-    quotas = {
-        "pos": parts["pos"] + F.when(to_pos, spare).otherwise(0),
-        "neg": parts["neg"] + F.when(to_pos, 0).otherwise(spare),
+    totals = dict.fromkeys((0, 1), 0) | {
+        row[label]: row["n"] for row in rows.groupBy(label).agg(F.count("*").alias("n")).collect() if row[label] in (0, 1)
     }
-    ranked = cumulative_counts(flags, "_draw", ["pos", "neg"])
-    limits = ranked.agg(
-        F.struct(
-            *(
-                F.coalesce(
-                    F.min(F.when((F.col(f"{c}_before") >= quotas[c]) & (F.col(c) > 0), F.col("_draw"))), F.lit(1.0)
-                ).alias(c)
-                for c in ("pos", "neg")
-            )
-        ).alias("limits")
-    ).scalar()
-    limit = F.when(F.col(label) == 1, limits["pos"]).otherwise(limits["neg"])
-    return drawn.withColumn("is_train", F.col("_draw") >= limit).drop("_draw")
+    limits = {}
+    for c, quota in _test_quotas(totals, test_fraction).items():
+        limits[c] = [quota - 1] if quota else []
+    at = values_at(drawn.select(label, "_draw"), "_draw", limits, by=label)
+    last = {c: at.get((c, ranks[0]), 1.0) if ranks else -1.0 for c, ranks in limits.items()}
+    limit = F.when(F.col(label) == 1, last[1]).otherwise(last[0])
+    return drawn.withColumn("is_train", F.col("_draw") > limit).drop("_draw")
+
+
+def _test_quotas(totals: dict[int, int], test_fraction: float) -> dict[int, int]:
+    """How many test rows each class gives."""
+    n = sum(totals.values())
+    if not n:
+        return dict.fromkeys(totals, 0)
+    tests = math.ceil(n * test_fraction)
+    share = {c: total * float(tests) / n for c, total in totals.items()}
+    parts = {c: math.floor(x) for c, x in share.items()}
+    spared = 1 if share[1] - parts[1] >= share[0] - parts[0] else 0
+    parts[spared] += tests - sum(parts.values())
+    return parts

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsrisk.operators.ordered import cumulative_counts
+from opsrisk.operators.ordered import ranked_pairs
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -77,18 +77,16 @@ def roc_auc(
 ) -> DataFrame:
     """Area under the ROC curve: pairs ranked rightly, ties counted half; null for one class.
 
-    Scores lie in [0, 1]. Rows are merged per distinct score before anything is
-    ordered; ``digits`` says the scores are rounded to that many.
+    Scores are any numbers; null and NaN ones are left out. ``digits`` rounds
+    them first. Rows are merged per distinct score before anything is ordered.
     """
     flagged = rows.select(
-        F.col(score).alias("score"),
+        (F.col(score) if digits is None else F.round(score, digits)).alias("score"),
         (F.col(label) == 1).cast("bigint").alias("pos"),
         (F.col(label) != 1).cast("bigint").alias("neg"),
     )
-    ranked = cumulative_counts(flagged, "score", ["pos", "neg"], digits)
-    won = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5)
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total")
-    return ranked.agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))
+    pairs = 2.0 * F.col("neg") * F.col("pos")
+    return ranked_pairs(flagged, "score", "neg", "pos").select(F.try_divide("won", pairs).alias("roc_auc"))
 
 
 def forecast_metrics(rows: DataFrame, by: str = "series_key") -> DataFrame:

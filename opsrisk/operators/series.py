@@ -16,6 +16,7 @@ from opsrisk.constants import (
     TREND_LOOKBACK,
 )
 from opsrisk.functions.calendar import HOLIDAY_NAMES, seasonal_effect, us_holiday, weekly_effect
+from opsrisk.operators.joins import stored_groups
 
 KEY = "series_key"
 CHANGEPOINTS = 25
@@ -51,13 +52,14 @@ def last_rows(series: DataFrame, n: int) -> DataFrame:
 
 
 def holdout_split(series: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
-    """``is_holdout`` for the newest rows of each series.
+    """``is_holdout`` for the rows of the newest days of each series.
 
-    Only the newest rows are numbered, and Spark keeps no more than that many per
-    task before it shuffles. A day is one row of a series, so the boundary date
-    then tells all rows apart.
+    A day counts once, however many rows it has. Days are merged before they are
+    numbered, and Spark keeps no more than the newest per task before it
+    shuffles; the first of them then tells all rows apart.
     """
-    newest = last_rows(series, holdout_days).groupBy(KEY).agg(F.min("ds").alias("first_recent"))
+    days = series.select(KEY, "ds").distinct()
+    newest = last_rows(days, holdout_days).groupBy(KEY).agg(F.min("ds").alias("first_recent"))
     return series.join(newest, KEY).select(
         KEY, "ds", "y", (F.col("ds") >= F.col("first_recent")).alias("is_holdout")
     )
@@ -97,7 +99,18 @@ def missing_days(trend: DataFrame, until: Column) -> DataFrame:
     )
 
 
-def extrapolated(days: DataFrame, noise_sd: float = 0.0, seed: int | None = None) -> DataFrame:
+def gaussian(key: Column, day: Column, seed: int) -> Column:
+    """A standard normal number for each key and day, the same however the rows are partitioned.
+
+    Two uniform numbers, of 52 bits each, are read from a digest of seed, key and
+    day, and turned into a normal one (Box-Muller).
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key, F.lit("")), day.cast("string")))
+    first, second = (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / F.lit(2.0**52) for at in (1, 14))
+    return F.sqrt(-2 * F.log(1 - first)) * F.cos(2 * math.pi * second)
+
+
+def extrapolated(days: DataFrame, noise_sd: float = 0.0, seed: int = 0) -> DataFrame:
     """Trend plus weekday and seasonal effect, not below the floor, cut to a whole number."""
     value = (
         F.col("last_y")
@@ -106,7 +119,7 @@ def extrapolated(days: DataFrame, noise_sd: float = 0.0, seed: int | None = None
         + seasonal_effect(F.col("ds"))
     )
     if noise_sd:
-        value = value + F.randn(seed) * noise_sd
+        value = value + gaussian(F.col(KEY), F.col("ds"), seed) * noise_sd
     return days.select(
         KEY, "ds", F.greatest(F.lit(float(FOOTFALL_FLOOR)), value).cast("bigint").alias("y")
     )
@@ -117,7 +130,7 @@ def extend_series(
     as_of: str,
     lookback: int = TREND_LOOKBACK,
     noise_sd: float = 0.0,
-    seed: int | None = None,
+    seed: int = 0,
 ) -> DataFrame:
     """The series carried on to ``as_of`` by its recent trend.
 
@@ -174,6 +187,15 @@ def regression_features() -> dict[str, str]:
     return terms
 
 
+def with_group_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows with the first and last day of their series, of which ``ranges`` has one row each.
+
+    ``ranges`` is written first, so that Spark knows its size when it picks the join.
+    """
+    kept = stored_groups(ranges).withColumnRenamed(KEY, "range_key")
+    return rows.join(kept, F.col(KEY).eqNullSafe(F.col("range_key"))).drop("range_key")
+
+
 def with_training_range(series: DataFrame) -> DataFrame:
     """Rows with the first and last day of their series.
 

@@ -6,12 +6,11 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsrisk.constants import MODEL_VERSION
 from opsrisk.operators import delay_model, validation
-from opsrisk.session import checkpointed
 from opsrisk.sources.history_store import append_history, read_history
 from opsrisk.sources.seeds import seed_for
 
@@ -74,14 +73,22 @@ class SeedOutcome:
     failed: int
 
 
-def seed_history(spark: SparkSession, model: PipelineModel, history_path: str) -> SeedOutcome:
-    """Fill an empty history with the seed scenarios; counts what was stored and what was rejected."""
+def seed_history(
+    spark: SparkSession, model: PipelineModel, history_path: str, scenarios: DataFrame | None = None
+) -> SeedOutcome:
+    """Fill an empty history with scenarios, the seed table if none are given; counts what was stored and what was rejected.
+
+    Both counts are observed while the scored rows are written, so the scenarios
+    are read once.
+    """
     history = read_history(spark, history_path)
-    checked = checkpointed(validation.validate(validation.derive_features(seed_for(history))))
-    counts = checked.agg(
-        F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid")
-    ).first()
-    if counts["valid"]:
-        scored = delay_model.score(validation.valid_rows(checked), model)
-        append_history(to_history(scored), history_path)
-    return SeedOutcome(seeded=counts["valid"], failed=counts["invalid"])
+    if scenarios is None:
+        scenarios = seed_for(history)
+    elif not history.isEmpty():
+        return SeedOutcome(seeded=0, failed=0)
+    counts = Observation("seeds")
+    checked = validation.validate(validation.derive_features(scenarios)).observe(
+        counts, F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid")
+    )
+    append_history(to_history(delay_model.score(validation.valid_rows(checked), model)), history_path)
+    return SeedOutcome(seeded=counts.get["valid"], failed=counts.get["invalid"])

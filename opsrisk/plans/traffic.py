@@ -55,6 +55,10 @@ class DailyForecast:
 def daily_forecast(
     coefficients: DataFrame, days: int = FORECAST_DAYS, limit: int = CAPACITY_LIMIT
 ) -> DailyForecast:
-    """The scheduled morning job: forecast, its totals, and alerts for crowded days."""
+    """The scheduled morning job: forecast, its totals, and alerts for crowded days.
+
+    Every series with a model has totals, 0 if there is no day in its forecast.
+    """
     points = forecast.forecast(coefficients, days)
-    return DailyForecast(points, alerts.forecast_totals(points), alerts.capacity_alerts(points, limit))
+    totals = alerts.forecast_totals(points, coefficients)
+    return DailyForecast(points, totals, alerts.capacity_alerts(points, limit))

@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsrisk.schemas import HISTORY_SCHEMA
 from opsrisk.session import checkpointed, path_exists
@@ -17,11 +18,12 @@ _ROW_BITS = 33
 _NOTES = "_last_ids"
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history; empty when nothing was written yet."""
+def read_history(spark: SparkSession, path: str, batches: bool = False) -> DataFrame:
+    """The history, with the ``batch`` that each row came in if asked for; empty when nothing was written yet."""
+    schema = T.StructType([*HISTORY_SCHEMA, *([T.StructField("batch", T.StringType())] if batches else [])])
     if not path_exists(spark, path):
-        return spark.createDataFrame([], HISTORY_SCHEMA)
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*HISTORY_SCHEMA.names)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def with_ids(rows: DataFrame, after: int) -> tuple[DataFrame, int]:
@@ -59,7 +61,8 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
     The first and last id of each batch are noted before its rows are written:
     the next append reads these notes and not the history. A batch that is
     repeated, whatever came after it, gets the ids noted for it; if its number
-    of rows is another one, it is refused. There is one writer per table.
+    of rows is another one, it is refused. An append of no rows writes nothing.
+    There is one writer per table.
     """
     spark = predictions.sparkSession
     batch = batch or uuid4().hex
@@ -70,6 +73,8 @@ def append_history(predictions: DataFrame, path: str, batch: str | None = None)
     numbered, last = with_ids(rows, after)
     if noted is not None and last != noted:
         raise ValueError(f"batch {batch!r} had {noted - after} rows and now has {last - after}")
+    if last == after:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
     complete = numbered.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA)
     )

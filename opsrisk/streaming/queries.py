@@ -14,40 +14,90 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from opsrisk.constants import HIGH_RISK_PROBABILITY
 from opsrisk.operators import alerts, history
-from opsrisk.plans.scoring import scored_requests, store_refused, to_history
+from opsrisk.plans.scoring import read_refused, scored_requests, store_refused, to_history
 from opsrisk.session import path_exists
-from opsrisk.sources.history_store import append_history
+from opsrisk.sources.history_store import append_history, read_history
+from opsrisk.sources.published import VersionedTable, publish, published
 
 WATERMARK = "1 hour"
 SUMMARY_TRIGGER = "5 minutes"
 
 
-def timed(predictions: DataFrame) -> DataFrame:
-    """Creation time as a timestamp, which watermarks ask for, with the lateness allowed."""
-    return predictions.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark(
-        "created_at", WATERMARK
-    )
+def timed(predictions: DataFrame, lateness: str | None = WATERMARK) -> DataFrame:
+    """Creation time as a timestamp, which windows of streams ask for, with the lateness allowed, if it is limited."""
+    rows = predictions.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return rows if lateness is None else rows.withWatermark("created_at", lateness)
 
 
 def scoring_writer(requests: DataFrame, model: PipelineModel, history_path: str) -> DataStreamWriter:
-    """Score every arriving request and add it to the history, one folder per micro-batch; refused ones go beside it."""
+    """Score every arriving request and add it to the history; refused ones go beside it.
+
+    A micro-batch writes a folder in either table and then moves a pointer past
+    its number. Both folders replace themselves when the batch is repeated, and
+    ``read_scored`` shows batches up to the pointer only. So each request is in
+    one of the two tables, once, whenever the job dies.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        store_refused(batch, history_path, f"{number:012d}")
-        append_history(to_history(scored_requests(batch, model)), history_path, f"{number:012d}")
+        spark, own = batch.sparkSession, f"{number:012d}"
+        done = published(spark, _commits(history_path))
+        if done is not None and done >= own:
+            return
+        store_refused(batch, history_path, own)
+        append_history(to_history(scored_requests(batch, model)), history_path, own)
+        publish(spark, _commits(history_path), own)
 
     return requests.writeStream.foreachBatch(store)
 
 
+def _commits(history_path: str) -> str:
+    return f"{history_path.rstrip('/')}-commits"
+
+
+def read_scored(spark: SparkSession, history_path: str) -> tuple[DataFrame, DataFrame]:
+    """The predictions and the refused requests of all micro-batches that are complete; fails before the first is."""
+    done = published(spark, _commits(history_path))
+    if done is None:
+        raise FileNotFoundError(f"no micro-batch is complete at {history_path}")
+    complete = F.lpad(F.col("batch").cast("string"), len(done), "0") <= done
+    scored = read_history(spark, history_path, batches=True).filter(complete)
+    return scored.drop("batch"), read_refused(spark, history_path).filter(complete).drop("batch")
+
+
 def risk_window_stream(
     predictions: DataFrame,
     length: str = "24 hours",
     slide: str = "24 hours",
     start: str = "6 hours 5 minutes",
     probability: float = HIGH_RISK_PROBABILITY,
+    lateness: str | None = WATERMARK,
 ) -> DataFrame:
-    """Risk counts of every window that the watermark has closed."""
-    return alerts.risk_windows(timed(predictions), length, slide, start, probability)
+    """Risk counts of every window.
+
+    ``table_writer`` adds a window to its table once the watermark has closed it;
+    ``keyed_writer`` keeps open windows up to date as well. Without a limit of
+    ``lateness`` no prediction is ever too late to count; the state then keeps
+    two numbers for each window there has been.
+    """
+    return alerts.risk_windows(timed(predictions, lateness), length, slide, start, probability)
+
+
+def keyed_writer(counts: DataFrame, path: str, keys: list[str]) -> DataStreamWriter:
+    """A running aggregate as a table with one row per key, its newest; read by ``read_keyed``.
+
+    Each micro-batch brings the rows that it changed and merges them into the
+    live version of the table, which is small: one row per key of the aggregate.
+    """
+
+    def store(changed: DataFrame, number: int) -> None:
+        VersionedTable(changed.sparkSession, path, counts.schema).merge(changed, keys, f"{number:012d}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(store)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The live version of a table of ``keyed_writer``."""
+    return VersionedTable(spark, path, schema).read()
 
 
 def alert_writer(predictions: DataFrame, path: str, probability: float = HIGH_RISK_PROBABILITY) -> DataStreamWriter:
@@ -87,19 +137,13 @@ def table_writer(stream: DataFrame, path: str) -> DataStreamWriter:
 
 
 def status_count_writer(predictions: DataFrame, path: str) -> DataStreamWriter:
-    """Running counts by status, a new snapshot per micro-batch."""
-
-    def store(counts: DataFrame, number: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
-
-    return history.status_counts(predictions).writeStream.outputMode("complete").foreachBatch(store)
+    """Running counts by status."""
+    return keyed_writer(history.status_counts(predictions), path, ["status"])
 
 
 def latest_status_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot of the running counts."""
-    schema = T.StructType.fromDDL("status string, n bigint, snapshot bigint")
-    snapshots = spark.read.schema(schema).parquet(path)
-    return snapshots.filter(F.col("snapshot") == snapshots.agg(F.max("snapshot")).scalar()).drop("snapshot")
+    """The running counts as they are now."""
+    return read_keyed(spark, path, T.StructType.fromDDL("status string, n bigint"))
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:

@@ -274,6 +274,8 @@ _AUC = """
 SELECT r6((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE)
        / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0))) AS roc_auc FROM ranked"""
 oracle("roc_auc", _AUC.format(s="s", t="scored"), ["scored"])
+_MARGINS = "(SELECT (event_type = 'error')::INTEGER AS y, (value - 40) * (value - 40) * (value - 40) / 7 AS s FROM events)"
+oracle("roc_auc_margins", _AUC.format(s="s", t=_MARGINS), ["scored"])
 
 # --- requests -----------------------------------------------------------------------
 
@@ -409,12 +411,16 @@ def _trend_of(rows: str) -> str:
   GROUP BY series_key"""
 
 
-def _carried_on(trend: str, until: str) -> str:
+_DRAW = "(('0x' || substr(md5('42|' || series_key || '|' || d::DATE::VARCHAR), {}, 13))::BIGINT / 4503599627370496::DOUBLE)"
+_NOISE = f" + sqrt(-2 * ln(1 - {_DRAW.format(1)})) * cos(2 * pi() * {_DRAW.format(14)}) * 500"
+
+
+def _carried_on(trend: str, until: str, noise: str = "") -> str:
     return f"""
   SELECT series_key, d::DATE AS ds,
          trunc(greatest(5000, last_y + i * slope + [-600, -1400, -900, 300, 2100, 900, 1700][isodow(d)]
            + CASE WHEN month(d) BETWEEN 6 AND 8 THEN 3500 ELSE 0 END
-           + CASE WHEN month(d) = 12 AND day(d) >= 15 THEN 4200 ELSE 0 END))::BIGINT AS y
+           + CASE WHEN month(d) = 12 AND day(d) >= 15 THEN 4200 ELSE 0 END{noise}))::BIGINT AS y
   FROM (SELECT *, last_ds + i::INTEGER AS d FROM {trend}, LATERAL (SELECT unnest(range(1, {until} - last_ds + 1)) AS i))"""
 
 
@@ -434,6 +440,8 @@ oracle("traffic_profile", "SELECT series_key, min(ds) AS date_min, max(ds) AS da
        ["panel"])
 oracle("traffic_trend", "SELECT series_key, last_ds, last_y, r6(slope) AS slope FROM trend", ["trend"])
 oracle("traffic_extended", "SELECT * FROM extended", ["extended"])
+oracle("traffic_extended_noise",
+       "SELECT series_key, ds, y FROM panel UNION ALL" + _carried_on("trend", "DATE '2001-12-31'", _NOISE), ["trend"])
 oracle("traffic_holdout_split", "SELECT series_key, ds, y, back <= 90 AS is_holdout FROM numbered", ["numbered"])
 oracle("traffic_future_dates", """
 SELECT series_key, (max(ds) + i::INTEGER)::DATE AS ds FROM panel, range(1, 31) t(i) GROUP BY series_key, i""", ["panel"])
@@ -486,6 +494,45 @@ oracle("traffic_features", """
 SELECT series_key, ds, y,
        """ + ",\n       ".join(_COLUMNS) + "\nFROM placed", ["panel", "holiday_dates"])
 
+# forecasts of stated coefficients: the features as above, the 50 sums written out
+_TERMS = ["t"]
+_TERMS += [f"greatest(0, t - 0.8::DOUBLE * {i} / 25)" for i in range(1, 26)]
+_TERMS += [f"{f}(2 * pi() * {k} * e / {p}::DOUBLE)" for n, p, k in _WAVES for f in ("sin", "cos")]
+_TERMS += ["(coalesce(name, '') = '{}')::INTEGER::DOUBLE".format(h.replace("'", "''")) for h in _HOLIDAYS]
+_CENTRE = "(10::DOUBLE + (0::DOUBLE" + "".join(f" + {term} * ({(k * 37 % 11 - 5) / 400})::DOUBLE" for k, term in enumerate(_TERMS)) + "))"
+shared("predicted", f"""
+  SELECT series_key, ds, step, exp(c) AS yhat, exp(c - w) AS yhat_lower, exp(c + w) AS yhat_upper FROM (
+    SELECT *, {_CENTRE} AS c,
+      1.959963984540054::DOUBLE * sqrt(0.05::DOUBLE ** 2 + 25 * 2 * 0.04::DOUBLE ** 2 * greatest(0, t - 1) ** 3 / 3) AS w
+    FROM (SELECT m.series_key, m.last + i::INTEGER AS ds, i AS step, h.name, (m.last + i::INTEGER - DATE '1970-01-01')::DOUBLE AS e,
+                 (m.last + i::INTEGER - m.first)::DOUBLE / greatest(1, m.last - m.first) AS t
+          FROM (SELECT series_key, min(ds) AS first, max(ds) AS last FROM panel GROUP BY ALL) m CROSS JOIN range(-10, 366) r(i)
+          LEFT JOIN holiday_dates h ON h.d = m.last + i::INTEGER))""", ["panel", "holiday_dates"])
+shared("points", """
+  SELECT series_key, ds::DATE AS ds, step, greatest(0, round_even(yhat, 0))::BIGINT AS predicted_footfall,
+         greatest(0, round_even(yhat_lower, 0))::BIGINT AS lower_bound, greatest(0, round_even(yhat_upper, 0))::BIGINT AS upper_bound
+  FROM predicted WHERE step > 0""", ["predicted"])
+oracle("traffic_predict", """
+SELECT series_key, ds::DATE AS ds, r6(yhat) AS yhat, r6(yhat_lower) AS yhat_lower, r6(yhat_upper) AS yhat_upper
+FROM predicted WHERE step <= 90""", ["predicted"])
+oracle("daily_forecast_totals", """
+SELECT series_key, sum(predicted_footfall)::BIGINT AS total_footfall, max(predicted_footfall) AS peak_footfall
+FROM points WHERE step <= 30 GROUP BY series_key""", ["points"])
+oracle("daily_forecast_alerts", """
+SELECT 'capacity' AS alert_type, 'High Traffic Day Forecast' AS subject,
+       'HIGH TRAFFIC ALERT: ' || ds || ' forecast ' || format('{:,}', predicted_footfall) || ' passengers (exceeds 22,000 capacity threshold)' AS message,
+       ds::TIMESTAMP AS event_time, series_key || '|' || ds AS ref_id FROM points WHERE predicted_footfall > 22000""", ["points"])
+oracle("daily_forecast_document", """
+SELECT series_key, count(*)::INTEGER AS forecast_days, min(ds)::VARCHAR AS forecast_from, max(ds)::VARCHAR AS forecast_to,
+       812.5::DOUBLE AS model_mae, 4.25::DOUBLE AS model_mape_pct,
+       '[' || string_agg('{"date":"' || ds || '","predicted_footfall":' || predicted_footfall || ',"lower_bound":' || lower_bound
+         || ',"upper_bound":' || upper_bound || '}', ',' ORDER BY ds) || ']' AS forecast
+FROM points WHERE step <= 14 GROUP BY series_key""", ["points"])
+oracle("traffic_forecast_shape", """
+SELECT series_key, days::INTEGER AS days, days::BIGINT AS points, days::BIGINT AS distinct_days, (last + 1)::DATE AS first_ds,
+       (last + days)::DATE AS last_ds, true AS ordered
+FROM (SELECT series_key, max(ds) AS last FROM panel GROUP BY ALL), (VALUES (1), (7), (14), (30), (90)) h(days)""", ["panel"])
+
 oracle("capacity_alerts", """
 SELECT 'capacity' AS alert_type, 'High Traffic Day Forecast' AS subject,
        'HIGH TRAFFIC ALERT: ' || ds || ' forecast ' || format('{:,}', y) || ' passengers (exceeds 45,000 capacity threshold)' AS message,
@@ -519,9 +566,8 @@ SELECT series_key, round(mae, 2) AS mae, round(mape_pct, 4) AS mape_pct, p.n AS
 FROM metrics JOIN (SELECT series_key, count(*) AS n, min(ds) AS date_min, max(ds) AS date_max FROM panel GROUP BY ALL) p USING (series_key)""",
        ["metrics"])
 
-# --- streams: windows the watermark of one hour has not closed are not in the table -------------
+# --- streams: the tables that standing queries leave, windows still open included -------------
 
-_CLOSED = "SELECT * FROM ({}) WHERE window_end <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM past)"
 _DAILY_WINDOWS = """SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_end, count(*) AS predictions,
        count(*) FILTER (high_delay_probability >= 0.65::DOUBLE) AS high_risk
 FROM (SELECT *, time_bucket(INTERVAL 24 HOUR, created_at, INTERVAL '6 hours 5 minutes') AS b FROM past) GROUP BY b"""
@@ -530,8 +576,17 @@ _SLIDING_WINDOWS = """SELECT b AS window_start, b + INTERVAL 24 HOUR AS window_e
 FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) - to_hours(6 * k) AS b FROM past, range(4) t(k)) GROUP BY b"""
 oracle("risk_windows_daily", _DAILY_WINDOWS, ["past"])
 oracle("risk_windows_sliding", _SLIDING_WINDOWS, ["past"])
-oracle("stream_risk_windows", _CLOSED.format(_DAILY_WINDOWS), ["past"])
-oracle("stream_risk_windows_sliding", _CLOSED.format(_SLIDING_WINDOWS), ["past"])
+ORACLES["stream_risk_windows"] = ORACLES["risk_windows_daily"]
+ORACLES["stream_risk_windows_sliding"] = ORACLES["risk_windows_sliding"]
+oracle("seed_outcome", """
+, m AS (SELECT request_id FROM broken GROUP BY request_id)
+, a AS (SELECT count(*) AS n, count(m.request_id) AS bad FROM requests r LEFT JOIN m ON m.request_id = r.request_id)
+SELECT n - bad AS seeded, bad AS failed, 0::BIGINT AS seeded_again, n - bad AS held FROM a""", ["broken"])
+oracle("stream_scoring", """
+, m AS (SELECT request_id FROM broken GROUP BY request_id)
+, a AS (SELECT count(*) AS n, count(m.request_id) AS bad FROM requests r LEFT JOIN m ON m.request_id = r.request_id)
+SELECT n - bad AS accepted, n - bad AS ids, 1::BIGINT AS first_id, n - bad AS last_id, bad AS refused, bad AS refused_requests FROM a""",
+       ["broken"])
 ORACLES["stream_alerts"] = ORACLES["monitor_alerts"]
 ORACLES["stream_status_counts"] = ORACLES["status_counts"]
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsrisk.constants import MODEL_FEATURES, MODEL_VERSION
+from opsrisk.constants import MAX_FORECAST_DAYS, MODEL_FEATURES, MODEL_VERSION, NOISE_SD
 from opsrisk.operators import (
     alerts,
     cleaning,
@@ -22,9 +26,9 @@ from opsrisk.operators import (
     series,
     validation,
 )
-from opsrisk.plans import scoring
+from opsrisk.plans import scoring, traffic
 from opsrisk.schemas import CLEAN_COLUMNS
-from opsrisk.session import checkpointed, scratch_path
+from opsrisk.session import checkpointed, scratch_path, shared_folder
 from opsrisk.sources import history_store, models, requests, seeds, tables, testdata
 from opsrisk.streaming import queries as streams
 
@@ -203,7 +207,16 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(quality.roc_auc(testdata.scored_labels(spark, folder), digits=4))
+    return rounded(quality.roc_auc(testdata.scored_labels(spark, folder)))
+
+
+@query
+def roc_auc_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over raw margins: unrounded, of either sign, far from [0, 1]."""
+    margins = testdata.table(spark, folder, "events").selectExpr(
+        "int(event_type = 'error') AS label", "(value - 40) * (value - 40) * (value - 40) / 7 AS margin"
+    )
+    return rounded(quality.roc_auc(margins, score="margin"))
 
 
 # --- requests --------------------------------------------------------------------------
@@ -367,6 +380,12 @@ def traffic_extended(spark: SparkSession, folder: str) -> DataFrame:
     return series.extend_series(stored_panel(spark, folder), EXTEND_TO)
 
 
+@query
+def traffic_extended_noise(spark: SparkSession, folder: str) -> DataFrame:
+    """The scattered variant: noise drawn from series, day and seed."""
+    return series.extend_series(stored_panel(spark, folder), EXTEND_TO, noise_sd=NOISE_SD, seed=42)
+
+
 @query
 def traffic_holdout_split(spark: SparkSession, folder: str) -> DataFrame:
     return series.holdout_split(stored_panel(spark, folder))
@@ -395,8 +414,9 @@ def capacity_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def forecast_totals(spark: SparkSession, folder: str) -> DataFrame:
-    days = series.extend_series(stored_panel(spark, folder), EXTEND_TO)
-    return alerts.forecast_totals(days.withColumnRenamed("y", "predicted_footfall"))
+    rows = stored_panel(spark, folder)
+    days = series.extend_series(rows, EXTEND_TO)
+    return alerts.forecast_totals(days.withColumnRenamed("y", "predicted_footfall"), rows)
 
 
 @query
@@ -454,6 +474,70 @@ def traffic_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.forecast(forecast.fit(panel(spark, folder)))
 
 
+def example_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A model of each series with coefficients that are stated and not learned, to check what is made from a model."""
+    places = range(len(series.regression_features()))
+    return panel(spark, folder).groupBy("series_key").agg(
+        F.min("ds").alias("start_ds"),
+        F.max("ds").alias("end_ds"),
+        F.count("*").alias("train_rows"),
+        F.lit(10.0).alias("intercept"),
+        F.array(*(F.lit((k * 37 % 11 - 5) / 400) for k in places)).alias("coefficients"),
+        F.lit(0.05).alias("sigma"),
+        F.lit(0.04).alias("bend_scale"),
+    )
+
+
+@query
+def traffic_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction and bounds of the stated models, from ten days before to ninety days after the training end."""
+    days = F.explode(F.sequence(F.date_sub("end_ds", 10), F.date_add("end_ds", 90))).alias("ds")
+    return rounded(forecast.predict(example_model(spark, folder).select("*", days)))
+
+
+@query
+def daily_forecast_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of the morning job over the stated models."""
+    return traffic.daily_forecast(example_model(spark, folder)).totals
+
+
+@query
+def daily_forecast_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Capacity alerts of the morning job over the stated models, for all days ahead that it may be asked for."""
+    return traffic.daily_forecast(example_model(spark, folder), days=MAX_FORECAST_DAYS, limit=22_000).alerts
+
+
+@query
+def daily_forecast_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers of the morning job with the quality of its models."""
+    model = example_model(spark, folder)
+    points = traffic.daily_forecast(model, days=14).points
+    measured = model.select("series_key", F.lit(812.5).alias("mae"), F.lit(4.25).alias("mape_pct"))
+    return forecast.forecast_document(points, measured).withColumn("forecast", F.to_json("forecast"))
+
+
+@query
+def traffic_forecast_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """What forecasts of fitted models over 1, 7, 14, 30 and 90 days look like: days, range, order of the bounds."""
+    path = scratch_path(spark, "forecast-model")
+    models.save_forecast_model(forecast.fit(panel(spark, folder)), path)
+    model = models.load_forecast_model(spark, path)
+    shapes = [
+        forecast.forecast(model, days)
+        .groupBy("series_key")
+        .agg(
+            F.lit(days).alias("days"),
+            F.count("*").alias("points"),
+            F.countDistinct("ds").alias("distinct_days"),
+            F.min("ds").alias("first_ds"),
+            F.max("ds").alias("last_ds"),
+            F.every(F.expr("0 <= lower_bound AND lower_bound <= predicted_footfall AND predicted_footfall <= upper_bound")).alias("ordered"),
+        )
+        for days in (1, 7, 14, 30, 90)
+    ]
+    return reduce(DataFrame.unionByName, shapes)
+
+
 @query
 def traffic_eval(spark: SparkSession, folder: str) -> DataFrame:
     split = series.holdout_split(stored_panel(spark, folder))
@@ -463,32 +547,69 @@ def traffic_eval(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams: all events are played through a standing query; its table is the result -------
 
 
+#: Parts of the events' time that arrive one after the other.
+ARRIVALS = 4
+
+
+def events_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream: files that arrive part by part of their time, a few per micro-batch."""
+    path, events = scratch_path(spark, "arriving"), testdata.table(spark, folder, "events")
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    if ends["first"] is not None:
+        span = (ends["last"] - ends["first"]) / ARRIVALS
+        for k in range(ARRIVALS):
+            arrived = events.filter(F.col("ts") >= ends["first"] + k * span)
+            if k + 1 < ARRIVALS:
+                arrived = arrived.filter(F.col("ts") < ends["first"] + (k + 1) * span)
+            arrived.write.mode("append").parquet(path)
+    else:
+        events.write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    events = spark.readStream.schema(testdata.TABLE_SCHEMAS["events"]).parquet(f"{folder}/events*.parquet")
-    return testdata.history_from(events)
+    return testdata.history_from(events_stream(spark, folder))
 
 
-@query
-def stream_risk_windows(spark: SparkSession, folder: str) -> DataFrame:
+def _windows_now(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """The windows of all events that arrived, open ones too, as a standing query left them."""
     path = scratch_path(spark, "risk-windows")
-    windows = streams.risk_window_stream(event_stream(spark, folder))
-    streams.run_available(streams.table_writer(windows, f"{path}/table"), f"{path}/checkpoint")
-    closed = spark.read.schema(windows.schema).parquet(f"{path}/table")
-    return closed.withColumns(
+    windows = streams.risk_window_stream(event_stream(spark, folder), lateness=None, **options)
+    writer = streams.keyed_writer(windows, f"{path}/table", ["window_start", "window_end"])
+    streams.run_available(writer, f"{path}/checkpoint")
+    return streams.read_keyed(spark, f"{path}/table", windows.schema).withColumns(
         {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
     )
 
 
+@query
+def stream_risk_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _windows_now(spark, folder)
+
+
 @query
 def stream_risk_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "sliding-windows")
-    windows = streams.risk_window_stream(
-        event_stream(spark, folder), slide="6 hours", start="0 seconds"
+    return _windows_now(spark, folder, slide="6 hours", start="0 seconds")
+
+
+@query
+def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that arrive as a stream, scored by the registered classifier: what was kept of them in either table."""
+    path = scratch_path(spark, "streamed")
+    requests_ = testdata.requests_from(events_stream(spark, folder))
+    model = registered_classifier(spark, folder).model("delay")
+    streams.run_available(streams.scoring_writer(requests_, model, f"{path}/history"), f"{path}/checkpoint")
+    scored, refused = streams.read_scored(spark, f"{path}/history")
+    both = scored.select("id", F.lit(None).cast("bigint").alias("refused_id")).unionByName(
+        refused.select(F.lit(None).cast("bigint").alias("id"), F.col("request_id").alias("refused_id"))
     )
-    streams.run_available(streams.table_writer(windows, f"{path}/table"), f"{path}/checkpoint")
-    closed = spark.read.schema(windows.schema).parquet(f"{path}/table")
-    return closed.withColumns(
-        {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
+    return both.agg(
+        F.count("id").alias("accepted"),
+        F.countDistinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count("refused_id").alias("refused"),
+        F.countDistinct("refused_id").alias("refused_requests"),
     )
 
 
@@ -537,9 +658,10 @@ def meta_json_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def model_health(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "meta")
-    tables.write_meta(traffic_meta(spark, folder), path)
-    return tables.model_health(tables.read_meta(spark, path))
+    """Quality of the live models, as the registry has it."""
+    registry = models.ModelRegistry(spark, scratch_path(spark, "models"))
+    registry.publish("traffic", None, {"meta": traffic_meta(spark, folder)})
+    return tables.model_health(registry.table("traffic", "meta"))
 
 
 @query
@@ -597,26 +719,51 @@ def history_replay(spark: SparkSession, folder: str) -> DataFrame:
 # --- delay model --------------------------------------------------------------------------------
 
 
+@query
+def seed_outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """An empty history filled with scenarios: how many were stored and how many refused, and what the history then holds."""
+    path = scratch_path(spark, "seeded")
+    model = registered_classifier(spark, folder).model("delay")
+    outcome = scoring.seed_history(spark, model, path, testdata.score_requests(spark, folder))
+    again = scoring.seed_history(spark, model, path, testdata.score_requests(spark, folder))
+    return history_store.read_history(spark, path).agg(
+        F.lit(outcome.seeded).cast("bigint").alias("seeded"),
+        F.lit(outcome.failed).cast("bigint").alias("failed"),
+        F.lit(again.seeded).cast("bigint").alias("seeded_again"),
+        F.count("*").alias("held"),
+    )
+
+
+def registered_classifier(spark: SparkSession, folder: str) -> models.ModelRegistry:
+    """The registry of this folder's models, with the delay classifier trained if it is not there yet.
+
+    The classifier learns from averages over earlier months only. Its held-out
+    rows are kept with it.
+    """
+    place = hashlib.sha256(os.path.normpath(folder).encode()).hexdigest()[:16]
+    registry = models.ModelRegistry(spark, f"{shared_folder(spark)}/models/{spark.sparkContext.applicationId}/{place}")
+
+    def train() -> tuple[PipelineModel, dict[str, DataFrame]]:
+        featured = features.add_features(stored_cells(spark, folder), averages="asof")
+        rows = delay_model.learning_rows(featured.na.drop(subset=list(MODEL_FEATURES)))
+        return delay_model.fit(rows), {"held_out": rows.filter("NOT is_train")}
+
+    registry.trained("delay", train)
+    return registry
+
+
 @query
 def delay_eval(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality of the delay classifier on the held-out rows."""
-    _, evaluation = delay_model.train_delay(features.add_features(stored_cells(spark, folder)))
-    return rounded(evaluation.report)
+    """Quality of the registered delay classifier on the rows held out from its training."""
+    registry = registered_classifier(spark, folder)
+    return rounded(delay_model.evaluate(registry.table("delay", "held_out"), registry.model("delay")).report)
 
 
 @query
 def delay_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests scored by a stored classifier, kept in the history and answered.
-
-    The classifier learns from averages over earlier months only.
-    """
-    rows = delay_model.learning_rows(
-        features.add_features(stored_cells(spark, folder), averages="asof").na.drop(subset=list(MODEL_FEATURES))
-    )
-    path = scratch_path(spark, "delay-model")
-    models.save_delay_model(delay_model.fit(rows), path)
+    """Requests scored by the registered delay classifier, kept in the history and answered."""
     return scoring.score_batch(
         testdata.score_requests(spark, folder),
-        models.load_delay_model(path),
+        registered_classifier(spark, folder).model("delay"),
         scratch_path(spark, "predictions"),
     )
