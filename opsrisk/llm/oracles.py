@@ -73,3 +73,68 @@ FROM placed JOIN buckets USING (depth) WHERE prefix = h >> (48 - depth)
 
 ORACLES["op6_sharding"] = sharding_sql(8 << 20)
 
+
+ORACLES["op12_spelling"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+         ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents)
+  GROUP BY ALL
+), marked AS (
+  SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM marked, crc
+), counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM counted WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), places AS MATERIALIZED (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), gaps AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS gap FROM places
+), shorter AS (
+  SELECT DISTINCT p.word AS a, w.word AS b FROM places p JOIN words w ON w.word = substr(p.word, 1, i - 1) || substr(p.word, i + 1)
+), near AS MATERIALIZED (
+  SELECT DISTINCT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.gap = y.gap AND x.word <> y.word
+  UNION SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+), best AS (
+  SELECT a AS word, count(*) AS n_near, max(n) AS form_n, arg_max(b, (n, place)) AS form
+  FROM near JOIN (SELECT word, n, -row_number() OVER (ORDER BY encode(word)) AS place FROM words) w ON w.word = b GROUP BY a
+), forms AS MATERIALIZED (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+         CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), roots AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT r.word, r.next, f.form FROM roots r JOIN forms f ON f.word = r.next
+)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM forms f JOIN roots r ON r.word = f.word AND r.next IS NULL
+"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH rows AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, list_inner_product(a.v, r.v)::BIGINT AS s
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS p FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, p AS positive_score, s AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 80 * p <= 100 * s AND 100 * s <= 100 * p
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) <= 5
+"""
