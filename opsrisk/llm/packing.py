@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsrisk.llm.common import batch_of, schema_of, stored
-from opsrisk.llm.piece_codes import chunks, codes
+from opsrisk.llm.piece_codes import chunks, codes, with_end
 
 #: Columns taken from one pricing, and columns of the program.
 BATCH, COLUMNS = 16, 4000
@@ -194,13 +194,7 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
         part, coder = TaskContext.get().partitionId(), codes(tokenizer)
         seen = np.zeros(size + 1, np.int64)
         for batch in chunks(batches, 1):
-            ids, bounds = coder.encode(batch.column(1))
-            n = np.diff(bounds) + 1
-            ends = np.cumsum(n)
-            flat = np.full(ends[-1], end_id, "<u2" if coder.kind is np.uint16 else "<u4")
-            inside = np.ones(ends[-1], bool)
-            inside[ends - 1] = False
-            flat[inside] = ids
+            flat, n = with_end(*coder.encode(batch.column(1)), end_id)
             # the first piece of a text may be shorter than the others
             several = -(-n // size)
             row = np.repeat(np.arange(len(n)), several)
@@ -213,7 +207,7 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
             place = np.empty(len(row), np.int64)
             place[order] = np.arange(len(row)) - np.searchsorted(by_length, by_length) + seen[by_length]
             seen += np.bincount(length, minlength=size + 1)
-            cuts = np.append(np.cumsum(length) - length, ends[-1]) * flat.itemsize
+            cuts = np.append(np.cumsum(length) - length, len(flat)) * flat.itemsize
             binary = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(flat)]
             ).cast(pa.binary())

@@ -29,11 +29,13 @@ class Codes:
     """
 
     #: Words remembered, and words joined to one text for the library.
-    LIMIT, JOINED = 1_500_000, 1000
+    LIMIT, JOINED = 700_000, 1000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
+        """With ``added`` the strings of added tokens in a text give the ids of these, as the library does; else they are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not added
         size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         tokens = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
@@ -140,11 +142,22 @@ class Codes:
 
 
 @lru_cache(maxsize=2)
-def codes(path: str) -> Codes:
-    return Codes(path)
+def codes(path: str, added: bool = True) -> Codes:
+    """The coder of a vocabulary file, built once per Python worker."""
+    return Codes(path, added)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end_id`` after each text, little-endian, and how many each text then has."""
+    sizes = np.diff(bounds) + 1
+    flat = np.full(sizes.sum(), end_id, "<u2" if ids.dtype.itemsize == 2 else "<u4")
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    flat[inside] = ids
+    return flat, sizes
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` again, in batches of a bounded number of bytes of a text column, one row at least."""
     held: list[pa.RecordBatch] = []
     size = 0

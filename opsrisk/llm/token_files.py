@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from urllib.parse import unquote, urlparse
 from uuid import uuid4
 
@@ -19,87 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
 from opsrisk.llm.common import batch_of, schema_of, stored
+from opsrisk.llm.piece_codes import chunks, codes, with_end
 
 #: Stands for a null doc_id in the files.
 NO_ID = -(2**63)
-#: Token ids of a smaller vocabulary take two bytes, others four.
-WIDE = 1 << 16
-
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]")
-_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece, remembering the ids of pieces.
-
-    Byte-level BPE merges inside the matches of its split pattern only. A match
-    never spans a place where white space follows something else, so a text may
-    be cut there and the ids of its pieces joined. With ``added`` the strings of
-    added tokens in a text give the ids of these, as is the library's default;
-    else they are ordinary text.
-    """
-
-    #: Pieces remembered, some 200 bytes each.
-    LIMIT = 1_000_000
-
-    def __init__(self, path: str, added: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= WIDE else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}  # by the piece without its space
-
-    def _learn(self, into: dict[str, bytes], keys: list[str], before: str) -> None:
-        found = self.tokenizer.encode_batch_fast([before + key for key in keys], add_special_tokens=False)
-        kind = "H" if self.width == "<u2" else "I"
-        into.update((key, _little(array(kind, one.ids))) for key, one in zip(keys, found, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, as wide as the vocabulary asks."""
-        if len(self.known) + len(self.after_space) > self.LIMIT:
-            self.known.clear()
-            self.after_space.clear()
-        cut = [_lines(text) if _plain(text) else [[piece] for piece in _pieces(text)] for text in texts]
-        self._learn(self.known, list({line[0] for lines in cut for line in lines}.difference(self.known)), "")
-        self._learn(self.after_space, list({w for lines in cut for line in lines for w in line[1:]}.difference(self.after_space)), " ")
-        known, later = self.known.__getitem__, self.after_space.__getitem__
-        return [b"".join([x for line in lines for x in (known(line[0]), *map(later, line[1:]))]) for lines in cut]
-
-
-def _little(ids: array) -> bytes:
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
-
-
-def _plain(text: str) -> bool:
-    """Whether single spaces and newlines between words are all the white space of a text."""
-    return not (
-        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
-        or "\n\n" in text or _ODD.search(text)
-    )
-
-
-def _lines(text: str) -> list[list[str]]:
-    """The words of each line; the first of a further line with its newline."""
-    lines = [line.split(" ") for line in text.split("\n")]
-    for line in lines[1:]:
-        line[0] = "\n" + line[0]
-    return lines
-
-
-def _pieces(text: str) -> list[str]:
-    return _SAFE.split(text) if _ODD.search(text) else _PIECE.findall(text)
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, added: bool = False) -> PieceEncoder:
-    return PieceEncoder(path, added)
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -122,22 +43,7 @@ def mapped(uri: str, kind: str, start: int = 0, count: int = -1) -> np.ndarray:
         return np.frombuffer(file.read_at(count * size, start * size), kind)
 
 
-def _texts(batches: Iterable[pa.RecordBatch], most: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in groups of bounded length."""
-    ids, texts, held = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids.append(doc_id.as_py())
-            texts.append(text.as_py() or "")
-            held += len(texts[-1])
-            if held >= most:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if texts:
-        yield ids, texts
-
-
-def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, added: bool = False) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, added: bool = True) -> DataFrame:
     """Encode ``text`` of every row, append ``end_id``, and write flat id files in ascending ``doc_id`` order.
 
     Each partition of the order is a file of ids, a file of 64-bit offsets (first
@@ -146,8 +52,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, a
     their numbers of ids. Returns the index, one row per partition: ``part``,
     ``base``, ``n_docs``, ``width`` and the three files.
 
-    Strings of added tokens, as ``<|endoftext|>``, are ordinary text, unless
-    ``added`` asks for their ids, as the library's ``encode`` gives them.
+    Strings of added tokens, as ``<|endoftext|>``, get their ids, as the library's
+    ``encode`` gives them; without ``added`` they are ordinary text.
 
     A null text is empty and gives the end id alone. Null doc_ids come first and
     are stored as the smallest 64-bit integer. Rows of equal doc_id are ordered
@@ -172,24 +78,18 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, a
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         file = f"{folder}/ids-{part:06d}-{uuid4().hex}.bin"
-        coder, out, place = encoder(tokenizer, added), None, 0
-        end = np.array([end_id], coder.width).tobytes()
-        size = len(end)
-        for ids, texts in _texts(batches):
+        coder, out, place = codes(tokenizer, added), None, 0
+        for batch in chunks(batches, 1):
             if out is None:
                 store, path = opened(file)
                 store.create_dir(os.path.dirname(path), recursive=True)
                 out = store.open_output_stream(path)
-            found = coder.encode(texts)
-            for one in found:
-                out.write(one)
-                out.write(end)
-            n = len(ids)
+            flat, sizes = with_end(*coder.encode(batch.column(1)), end_id)
+            out.write(pa.py_buffer(flat))
+            n = batch.num_rows
             yield batch_of(
-                noted,
-                [[part] * n, range(place, place + n), ids, [len(x) // size + 1 for x in found], [file] * n,
-                 [coder.width] * n],
-            )
+                noted, [[part] * n, range(place, place + n), batch.column(0), sizes, [file] * n, [flat.dtype.str] * n]
+            )
             place += n
         if out is not None:
             out.close()

@@ -89,15 +89,16 @@ def test_cutting_a_long_text_changes_no_id(text):
 def test_token_files(spark, edges, empty, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    index = token_files.write_token_files(edges, folder + "/a", path, 2)
-    got = [tuple(r) for r in token_files.read_token_files(index).orderBy("start").collect()]
-    want, start = [], 0
-    for i, t in sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = coder.encode(t or "", add_special_tokens=False).ids + [2]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == want
+    for added in (True, False):
+        coder.encode_special_tokens = not added
+        index = token_files.write_token_files(edges, f"{folder}/a{added}", path, 2, **({} if added else {"added": False}))
+        got = [tuple(r) for r in token_files.read_token_files(index).orderBy("start").collect()]
+        want, start = [], 0
+        for i, t in sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0)):
+            ids = coder.encode(t or "", add_special_tokens=False).ids + [2]
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert got == want
     assert token_files.read_token_files(token_files.write_token_files(empty, folder + "/b", path, 2)).count() == 0
 
 
