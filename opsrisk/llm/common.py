@@ -35,7 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     _made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of stored(), whose readers are all written by now."""
+    released(tables[0].sparkSession, [table.stored_at for table in tables])
 
 
 @contextmanager

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsrisk.llm.common import WordIds, batch_of, mixed, schema_of, stored, window_hashes, word_ids
+from opsrisk.llm.common import WordIds, batch_of, dropped, mixed, schema_of, stored, window_hashes, word_ids
 from opsrisk.llm.components import components
 
 #: Each permutation gives two values, so 300 values cost 150 hashes of a shingle. With 50 bands of six a pair at a
@@ -57,9 +57,18 @@ def _bands(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row ``doc_id``, ``n``, ``key`` (128 bits that name the set), ``bands``, ``sketch`` and the set itself."""
-    fields = schema_of("doc_id bigint, n bigint, key binary, bands array<bigint>, sketch binary, shingles binary")
+def _named(docs: DataFrame) -> DataFrame:
+    """Texts with what finds them again: ``doc_id`` and a hash of the text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """Per row ``doc_id``, ``text_hash``, ``n``, ``key`` (128 bits that name the set), ``bands`` and ``sketch``.
+
+    Sets are some times larger than that and are not kept; those that are
+    compared are made again by ``_sets``.
+    """
+    fields = schema_of("doc_id bigint, text_hash bigint, n bigint, key binary, bands array<bigint>, sketch binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -67,17 +76,43 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 rows = []
                 part = batch.slice(at, 500)
-                for doc_id, text in zip(*part.columns, strict=True):
+                for text in part.column(1):
                     own = shingles(text.as_py(), size, ids)
                     if len(own):
-                        packed, signed = own.tobytes(), signature(own)
+                        signed = signature(own)
                         sketch = (signed & np.uint32(255)).astype(np.uint8).tobytes()
-                        rows.append((doc_id.as_py(), len(own), xxhash.xxh3_128_digest(packed), _bands(signed), sketch, packed))
+                        rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), _bands(signed), sketch))
                     else:
-                        rows.append((doc_id.as_py(), 0, None, None, None, None))
-                yield batch_of(fields, list(zip(*rows, strict=True)))
+                        rows.append((0, None, None, None))
+                yield batch_of(fields, [part.column(0), part.column(2), *zip(*rows, strict=True)])
+
+    return _named(docs).mapInArrow(run, fields)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(``node``, ``shingles``) of the wanted rows (``node``, ``doc_id``, ``text_hash``), written.
+
+    ``wanted`` is a written table: Spark knows its size and sends it to the texts
+    if it is small, instead of moving the texts.
+    """
+    fields = schema_of("node bigint, shingles binary")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield batch_of(fields, [part.column(0), [shingles(text.as_py(), size, ids).tobytes() for text in part.column(1)]])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, fields)
+    rows, ids = _named(docs), wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))
+    found = stored(rows.join(ids, same).select("node", "text").mapInArrow(run, fields), "near-sets")
+    if found.count() == wanted.count():
+        return found
+    # equal rows were found for one node
+    single = stored(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    dropped(found)
+    return single
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -99,7 +134,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough, written."""
     near = stored(_near(pairs, nodes, percent), "near-pairs")
-    wanted = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = stored(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-wanted")
     full = stored(_full(sets, wanted), "near-sets")
     of = lambda side: full.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
     fields = schema_of("u bigint, v bigint")
@@ -116,7 +151,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -
             yield batch_of(fields, [batch.column(k).filter(pa.array(links, pa.bool_())) for k in (0, 1)])
 
     both = near.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set")
-    return stored(both.mapInArrow(run, fields), "near-links")
+    links = stored(both.mapInArrow(run, fields), "near-links")
+    dropped(near, wanted, full)
+    return links
 
 
 def _full(full: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -182,7 +219,9 @@ def _unsettled(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFr
     labelled = stored(labelled.withColumn("root", F.coalesce("root", "node")), "near-labels")
     several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     left = stored(labelled.join(several.select("bucket"), "bucket", "left_semi"), "near-members")
-    return stored(left.join(_own(sets, left), "node", "left").na.fill(0, ["own"]), "near-members")
+    found = stored(left.join(_own(sets, left), "node", "left").na.fill(0, ["own"]), "near-members")
+    dropped(labelled, left)
+    return found
 
 
 def _possible(a: str, b: str, percent: int) -> str:
@@ -219,7 +258,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rows are kept or not together. Other columns are ignored. An empty table gives
     an empty one.
     """
-    sets = stored(_sets(docs, size).withColumn("row", F.monotonically_increasing_id()), "near-shingles")
+    sets = stored(_signed(docs, size).withColumn("row", F.monotonically_increasing_id()), "near-rows")
     # a set is known by the first of its rows
     nodes = stored(
         sets.where("key IS NOT NULL")
@@ -227,17 +266,20 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         .agg(
             F.min("row").alias("node"),
             F.min("doc_id").alias("least_id"),
+            F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at"),
             *(F.first(name).alias(name) for name in ("n", "bands", "sketch")),
         ),
         "near-nodes",
     )
     rows = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    members = stored(
+    every = stored(
         rows.join(shared.select("bucket"), "bucket", "left_semi").selectExpr("*", "node AS root", "0L AS own"), "near-members"
     )
+    members = every
     # of the sets, only those that share a bucket are ever compared
-    full = stored(_full(sets.select(F.col("row").alias("node"), "shingles"), members.select("node").distinct()), "near-sets")
+    compared = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "at.*")
+    full = _sets(docs, stored(compared, "near-compared"), size)
 
     leaders = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "own", "root")).alias("x"))
     led = stored(_pairs(members, leaders.select("bucket", "x.*"), "a.node <> b.node", percent), "near-tried")
@@ -252,6 +294,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     met = stored(_pairs(small, small, "a.node < b.node", percent).join(led, ["u", "v"], "left_anti"), "near-tried")
     links = stars.unionByName(blocks).unionByName(_linked(met, full, nodes, percent))
     groups = nodes.select("node", "least_id").join(components(links), "node", "left")
+    dropped(every, members, small, led, met, full)
     groups = groups.withColumn("root", F.coalesce("root", "node"))
     of_root = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_key = groups.join(of_root, "root").join(nodes.select("node", "key"), "node").select("key", "component_id")
