@@ -9,6 +9,9 @@ only the small system of equations of a series is solved in Python.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 from statistics import NormalDist
 
 import numpy as np
@@ -69,7 +72,7 @@ def _with_features(timed: DataFrame) -> DataFrame:
     return placed.withColumn("features", F.expr(f"array({', '.join(S.regression_features().values())})"))
 
 
-#: What a fit needs of a series: sums of products of its rows' features and logged values, as packed doubles.
+#: What a fit needs of a series: number, means and centred sums of products of its rows' features and logged values, as packed doubles.
 _SUMS = T.StructType(
     [
         T.StructField(S.KEY, T.StringType()),
@@ -83,14 +86,42 @@ _SUMS = T.StructType(
 _SERIES_HELD = 500
 
 
+@dataclass
+class Moments:
+    """Number, means and centred sums of products of some rows; those of more rows are put together from parts."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Moments:
+        mean = rows.mean(0)
+        moved = rows - mean
+        return cls(float(len(rows)), mean, moved.T @ moved)
+
+    def __add__(self, other: Moments) -> Moments:
+        n, apart = self.n + other.n, other.mean - self.mean
+        products = self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n)
+        return Moments(n, self.mean + apart * (other.n / n), products)
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.n], self.mean, self.products.ravel()]).tobytes()
+
+    @classmethod
+    def unpacked(cls, held: bytes, size: int) -> Moments:
+        numbers = np.frombuffer(held, float)
+        return cls(float(numbers[0]), numbers[1 : size + 1], numbers[size + 1 :].reshape(size, size))
+
+
 def _sums(rows: DataFrame) -> DataFrame:
-    """Per task and series the sums of products of (1, features, z): all that least squares asks for."""
+    """Per task and series the moments of (features, z): all that least squares asks for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
         def sent() -> pa.RecordBatch:
-            rows = [(key, *ends, total.tobytes()) for key, (ends, total) in held.items()]
+            rows = [(key, *ends, moments.packed()) for key, (ends, moments) in held.items()]
             held.clear()
             kinds = (pa.string(), pa.date32(), pa.date32(), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * 4
@@ -102,13 +133,13 @@ def _sums(rows: DataFrame) -> DataFrame:
             coded = pc.dictionary_encode(batch.column(S.KEY), null_encoding="encode")
             number = coded.indices.to_numpy(zero_copy_only=False)
             x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-            wide = np.column_stack([np.ones(len(x)), x, batch.column("z").to_numpy()])
+            wide = np.column_stack([x, batch.column("z").to_numpy()])
             for k, key in enumerate(coded.dictionary.to_pylist()):
                 own = np.flatnonzero(number == k)
                 first = int(own[0])
                 ends = (batch.column("start_ds")[first].as_py(), batch.column("end_ds")[first].as_py())
-                total = wide[own].T @ wide[own]
-                held[key] = (ends, held[key][1] + total if key in held else total)
+                moments = Moments.of(wide[own])
+                held[key] = (ends, held[key][1] + moments if key in held else moments)
                 if len(held) >= _SERIES_HELD:
                     yield sent()
         yield sent()
@@ -116,27 +147,24 @@ def _sums(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SUMS)
 
 
-def _solved(total: np.ndarray, widths: list[float]) -> tuple[float, np.ndarray, float]:
-    """Intercept, coefficients and noise of the ridge regression with these sums."""
-    n = total[0, 0]
-    centre = total[0, 1:] / n
-    moved = total[1:, 1:] - n * np.outer(centre, centre)
-    gram, right, spread = moved[:-1, :-1], moved[:-1, -1], max(moved[-1, -1], 0.0)
+def _solved(moments: Moments, widths: list[float]) -> tuple[float, np.ndarray, float]:
+    """Intercept, coefficients and noise of the ridge regression with these moments."""
+    gram, right, spread = moments.products[:-1, :-1], moments.products[:-1, -1], moments.products[-1, -1]
     # the prior's weight depends on the noise, the noise on the fit: settle both
-    variance, beta = spread / n, np.zeros(len(gram))
+    variance, beta = spread / moments.n, np.zeros(len(gram))
     for _ in range(10):
         penalty = max(variance, 1e-12) / np.square(widths)
         beta = np.linalg.solve(gram + np.diag(penalty), right)
         residual = spread - 2 * beta @ right + beta @ gram @ beta
-        variance = max(residual, 0.0) / n
-    return float(centre[-1] - centre[:-1] @ beta), beta, float(np.sqrt(variance))
+        variance = max(residual, 0.0) / moments.n
+    return float(moments.mean[-1] - moments.mean[:-1] @ beta), beta, float(np.sqrt(variance))
 
 
 def fit(series: DataFrame) -> DataFrame:
     """One row of coefficients per series.
 
-    Least squares needs of a series the sums of products of its rows only, about
-    2,600 numbers. Each task adds them up for its rows, so what is shuffled and
+    Least squares needs of a series the sums of products of its rows only, some
+    5,000 numbers. Each task adds them up for its rows, so what is shuffled and
     solved is one row of numbers per series and task, however many days or rows
     a series has.
     """
@@ -150,15 +178,14 @@ def fit(series: DataFrame) -> DataFrame:
     bends = [i for i, name in enumerate(S.regression_features()) if name.startswith("bend_")]
 
     def solve(parts: pd.DataFrame) -> pd.DataFrame:
-        size = len(widths) + 2
-        total = sum(np.frombuffer(x, float).reshape(size, size) for x in parts["sums"])
+        total = reduce(add, (Moments.unpacked(x, len(widths) + 1) for x in parts["sums"]))
         intercept, beta, sigma = _solved(total, widths)
         return pd.DataFrame(
             {
                 key: [parts[key].iloc[0]],
                 "start_ds": [parts["start_ds"].iloc[0]],
                 "end_ds": [parts["end_ds"].iloc[0]],
-                "train_rows": [round(total[0, 0])],
+                "train_rows": [round(total.n)],
                 "intercept": [intercept],
                 "coefficients": [beta.tolist()],
                 "sigma": [sigma],

@@ -148,15 +148,19 @@ def _listed(held: DataFrame, intervals: list[tuple]) -> dict[tuple[int | None, i
     return found
 
 
+def _share(low: float, high: float) -> str:
+    """How far ``v`` is on the way from ``low`` to ``high``; by halves, if their difference is too large for a double."""
+    if math.isinf(high - low):
+        return f"(v / 2 - double('{low / 2!r}')) / double('{high / 2 - low / 2!r}')"
+    return f"(v - double('{low!r}')) / double('{high - low!r}')"
+
+
 def _counted(held: DataFrame, intervals: list[tuple]) -> Iterator[list[tuple]]:
     """For each interval its parts that hold wanted ranks, each with its own least and greatest value."""
     if not intervals:
         return
     cases = " ".join(_within(one, k) for k, one in enumerate(intervals))
-    # halves, so that the width of an interval is finite
-    places = " ".join(
-        f"WHEN {k} THEN floor((v / 2 - {low / 2!r}D) / {high / 2 - low / 2!r}D * {PARTS})" for k, (_, _, low, high, _) in enumerate(intervals)
-    )
+    places = " ".join(f"WHEN {k} THEN floor({_share(low, high)} * {PARTS})" for k, (_, _, low, high, _) in enumerate(intervals))
     parts = (
         held.select(F.expr(f"CASE {cases} END").alias("k"), "v")
         .filter("k IS NOT NULL")
