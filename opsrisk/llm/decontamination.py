@@ -1,7 +1,13 @@
-"""Benchmark decontamination by template windows: numbers, names and units become typed placeholders. DataFrame operations alone."""
+"""Benchmark decontamination by template windows: numbers, names and units become typed placeholders. DataFrame operations alone.
+
+Beside the templates, whose names are known by their capitals, words are compared
+as they stand but for case, so that copies are found however they are written.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +33,21 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 
+# Words for numbers, which count as these.
+NUMBER_WORDS = dict(
+    zip(
+        (
+            "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+            "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+        ).split(),
+        [*range(21), 30, 40, 50, 60, 70, 80, 90, 100, 1000, 1_000_000],
+        strict=True,
+    )
+)
+
+#: Items of fewer words than this occur everywhere and say nothing.
+LEAST_WORDS = 3
+
 # Patterns that Java and RE2 read alike. A word has its capital from its place if a sentence ends before it; capitals
 # and small letters are those of the Latin-1 alphabet.
 _PROPER = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -72,6 +93,36 @@ def _distinctive(items: DataFrame, key: str, size: int, literal: int) -> DataFra
     return windows(items, key, size).join(at.where(F.size(own) >= literal).select(key, "place"), [key, "place"], "left_semi")
 
 
+def with_plain_words(rows: DataFrame) -> DataFrame:
+    """``_words``: the lower-cased ``text`` cut like a template, with words for numbers as numbers."""
+    numbers = F.create_map(*(F.lit(x) for word, n in NUMBER_WORDS.items() for x in (word, str(n))))
+    words = F.split(F.lower(_text()), _CUT)
+    # few words have the length of a word for a number and are looked up
+    longest = max(map(len, NUMBER_WORDS))
+    return rows.withColumn(
+        "_words",
+        F.transform(words, lambda w: F.when(F.length(w).between(3, longest), F.coalesce(F.element_at(numbers, w), w)).otherwise(w)),
+    )
+
+
+def plain_windows(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(``key``, ``place``, ``hash``) of each ``size`` plain words in a row of ``text``; the hash is another one for each size."""
+    words = with_plain_words(rows.select(key, "text")).select(key, "_words")
+    places = F.explode_outer(F.when(F.size("_words") >= size, F.sequence(F.lit(0), F.size("_words") - size)))
+    at = words.select(key, "_words", places.alias("place")).where("place IS NOT NULL")
+    own = F.xxhash64(F.lit(-size), *(F.get("_words", F.col("place") + k) for k in range(size)))
+    return at.select(key, "place", own.alias("hash"))
+
+
+def _plain_known(items: DataFrame, size: int) -> tuple[DataFrame, list[int]]:
+    """The items' windows of plain words, of ``size`` words or, if an item has fewer, of all its words; and the sizes there are."""
+    counted = with_plain_words(items).select("item_id", "text", F.least(F.size("_words"), F.lit(size)).alias("_n")).where(F.col("_n") >= LEAST_WORDS)
+    sizes = list(range(LEAST_WORDS, size + 1))
+    parts = [plain_windows(counted.where(F.col("_n") == n), "item_id", n) for n in sizes]
+    held = [row["_n"] for row in counted.select("_n").distinct().collect()]
+    return reduce(DataFrame.unionByName, parts), [n for n in sizes if n in held]
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -81,7 +132,7 @@ def leaks(
     min_consistent: float = 0.8,
     slack: int = 16,
 ) -> DataFrame:
-    """Documents that hold a benchmark item, also with other numbers, names or units.
+    """Documents that hold a benchmark item, also with other numbers, names or units, or in other case.
 
     One row per ``doc_id`` and ``item_id``: ``n_windows`` of the item, how many
     of them the document has in the right order within ``slack`` words
@@ -90,42 +141,60 @@ def leaks(
     stand for equal values of the document and the other way round. A pair counts
     from ``min_coverage`` of the windows and ``min_consistent`` of the slots on.
 
-    Items with fewer than ``size`` words, or without a window of ``literal``
-    ordinary words, are not looked for. Null and empty texts hold and are
+    An item is looked for in two ways. Its template windows need ``size`` words,
+    ``literal`` of them ordinary ones. Its plain windows are lower-cased words with
+    words for numbers as numbers; an item of fewer than ``size`` words is one window.
+    Pairs that only the plain way finds have no slots.
+
+    Items of fewer than three words are not looked for. Null and empty texts hold and are
     nothing; rows of null ids are left out. Rows of one id, in either table,
-    count as one text that holds what any of them holds. Empty tables give an
-    empty result.
+    count as one text that holds what any of them holds. Very long texts are
+    looked through whole. Other columns are ignored. Empty tables give an empty result.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     items = items.where("item_id IS NOT NULL").select("item_id", "text")
+    plain, sizes = _plain_known(items, size)
+    of_template = _distinctive(items, "item_id", size, literal).withColumn("kind", F.lit(0))
     known = stored(
-        _distinctive(items, "item_id", size, literal).select("item_id", F.col("place").alias("item_place"), "hash"),
+        of_template.unionByName(plain.withColumn("kind", F.lit(1))).select("item_id", "kind", F.col("place").alias("item_place"), "hash"),
         "benchmark-windows",
     )
     # found places go two ways into bands of 2 * slack diagonals, so that each pair of near diagonals shares a band
     shift = F.col("place") - F.col("item_place")
     bands = F.explode(F.array(F.floor(shift / (2 * slack)) * 2, F.floor((shift + slack) / (2 * slack)) * 2 + 1))
-    matches = stored(windows(docs, "doc_id", size).join(known, "hash").drop("hash"), "benchmark-matches")
-    per_band = matches.select("*", bands.alias("band")).groupBy("doc_id", "item_id", "band").agg(
+    looked = reduce(
+        DataFrame.unionByName,
+        [windows(docs, "doc_id", size).withColumn("kind", F.lit(0))]
+        + [plain_windows(docs, "doc_id", n).withColumn("kind", F.lit(1)) for n in sizes],
+    )
+    matches = stored(looked.join(known, ["hash", "kind"]).drop("hash"), "benchmark-matches")
+    pair = ["doc_id", "item_id"]
+    per_band = matches.select("*", bands.alias("band")).groupBy(*pair, "kind", "band").agg(
         F.countDistinct("item_place").alias("n_found")
     )
-    per_item = known.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
+    per_item = known.groupBy("item_id", "kind").agg(F.countDistinct("item_place").alias("n_windows"))
     best = (
-        per_band.groupBy("doc_id", "item_id")
+        per_band.groupBy(*pair, "kind")
         .agg(F.max(F.struct("n_found", -F.col("band"))).alias("_best"))
-        .select("doc_id", "item_id", F.col("_best.n_found").alias("n_found"), (-F.col("_best.col2")).alias("band"))
-        .join(per_item, "item_id")
+        .select(*pair, "kind", F.col("_best.n_found").alias("n_found"), (-F.col("_best.col2")).alias("band"))
+        .join(per_item, ["item_id", "kind"])
         .withColumn("coverage", F.col("n_found") / F.col("n_windows"))
         .where(F.col("coverage") >= min_coverage)
     )
     found = stored(best, "benchmark-found")
-    slots = _slots(docs, items, found, matches.select("*", bands.alias("band")), size)
-    return (
-        found.join(slots, ["doc_id", "item_id"], "left")
+    typed = found.where("kind = 0")
+    slots = _slots(docs, items, typed, matches.where("kind = 0").select("*", bands.alias("band")), size)
+    columns = [*pair, "n_windows", "n_found", "coverage", "n_slots", "n_consistent"]
+    consistent = stored(
+        typed.join(slots, pair, "left")
         .na.fill(0, ["n_slots", "n_consistent"])
         .where((F.col("n_slots") == 0) | (F.col("n_consistent") >= min_consistent * F.col("n_slots")))
-        .select("doc_id", "item_id", "n_windows", "n_found", "coverage", "n_slots", "n_consistent")
+        .select(*columns),
+        "benchmark-consistent",
     )
+    none = F.lit(0).cast("bigint")
+    others = found.where("kind = 1").join(consistent.select(*pair), pair, "left_anti")
+    return consistent.unionByName(others.withColumns({"n_slots": none, "n_consistent": none}).select(*columns))
 
 
 def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, matches: DataFrame, size: int) -> DataFrame:
@@ -147,7 +216,8 @@ def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, matches: DataFra
         matched = with_words(wanted.withColumn("_of", F.xxhash64("text"))).select(
             key,
             "_of",
-            F.posexplode("_words").alias(at, "_word"),
+            # the outer form, as above
+            F.posexplode_outer("_words").alias(at, "_word"),
             F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)).alias("names"),
             F.regexp_extract_all(named, F.lit(NUMBERS), F.lit(0)).alias("numbers"),
             F.regexp_extract_all(counted, F.lit(UNITS_AFTER), F.lit(2)).alias("units"),
