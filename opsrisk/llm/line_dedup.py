@@ -155,13 +155,16 @@ def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int) -> D
     """
     found = stored(suspects(docs, min_chars, bits), "line-suspects")
     # the largest doc_id keeps its lines; a null doc_id counts as one document that is smaller than all others
-    shared = (
+    shared = stored(
         found.select("key", "doc_id")
         .distinct()
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
+        .where(F.col("n") >= min_docs),
+        "line-shared",
     )
+    # one row per shared line, of known size: sent to the suspects if it is small, so that no line's holders meet in a
+    # task; else Spark joins by key and splits the tasks of frequent lines
     return (
         found.join(shared, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
