@@ -9,6 +9,7 @@ columns are treated as the operators say; empty tables give empty ones.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar, copy_context
 from functools import wraps
 
 import public_tokenizers
@@ -25,15 +26,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-#: What the stage before wrote for itself. Its result is a table of its own by the time the next stage begins.
-_left: list[str] = []
+#: What the stage before wrote for itself, in this thread. Its result is a table of its own by the time the next stage begins.
+_left: ContextVar[list[str] | None] = ContextVar("left", default=None)
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(run: Stage) -> Stage:
+    """A stage that first removes what the one before it left, and notes what it leaves."""
 
-def stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(run)
     def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        released(spark, _left)
-        with noted(_left):
+        released(spark, _left.get() or [])
+        left: list[str] = []
+        _left.set(left)
+        with noted(left):
             return run(spark, docs, sf_dir)
 
     return cleaned
@@ -72,7 +79,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(ids, ranks, pattern).select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good_quality),
     ("line dedup", without_shared_lines),
     ("MinHash near-dedup", without_near_copies),
@@ -82,7 +89,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder before the next begins."""
+    """All stages over ``documents``; each result is a table in the shared folder before the next begins.
+
+    Runs don't see each other's folders, also not within one session.
+    """
+    return copy_context().run(_run, spark, sf_dir)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _left.set(None)
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         path, found = scratch_path(spark, name.replace(" ", "-")), function(spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -18,8 +19,8 @@ from opsrisk.session import scratch_path
 #: Python's white space of one byte, as the word contracts name it.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-#: Folders that stored() has made.
-_made: list[str] = []
+#: Where stored() notes the folders it makes, if somebody asked; each thread has its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the tasks of one step, never the steps before it.
     """
     path = scratch_path(df.sparkSession, name)
-    _made.append(path)
+    if (noting := _made.get()) is not None:
+        noting.append(path)
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
@@ -47,10 +49,12 @@ def dropped(*tables: DataFrame) -> None:
 
 @contextmanager
 def noted(paths: list[str]) -> Iterator[None]:
-    """Note in ``paths`` the folders that stored() makes inside."""
-    before = len(_made)
-    yield
-    paths += _made[before:]
+    """Note in ``paths`` the folders that stored() makes inside, in this thread."""
+    outer = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
 
 
 def released(spark: SparkSession, paths: list[str]) -> None:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -318,6 +319,88 @@ def test_decontamination_finds_templates(spark, empty):
     assert decontamination.leaks(empty, items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+SHORT = "compute 12 plus 7"
+NAMED = "Anna Berg and Otto Lind sell Mary Stone twelve old boats near Green Harbour before the winter storm comes over the hills"
+
+
+@pytest.mark.parametrize(
+    "text", [SHORT, SHORT.upper(), "compute twelve plus seven", NAMED, NAMED.lower(), NAMED.upper(), NAMED.replace("twelve", "12")]
+)
+def test_decontamination_finds_copies_however_they_are_written(spark, text):
+    filler = " ".join(prose(5, 60))
+    docs = spark.createDataFrame([(1, f"{filler} {text}. {filler}"), (2, filler), (3, "compute 12 minus 7"), (4, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, SHORT), (2, NAMED), (3, "plus 7"), (4, "")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()}
+    assert found == {(1, 1 if "ompute" in text or "COMPUTE" in text else 2)}
+
+
+def brute_leaks(docs, items, size=5, literal=3, slack=16):
+    """Pairs by the definition, slots left aside: windows of template and of plain words that lie in one band of diagonals."""
+
+    def cut(text):
+        marks = decontamination.MARKS
+        return re.split(rf"[{re.escape(marks)}]*[ \t\n\x0b\f\r]+[{re.escape(marks)}]*", text.strip(decontamination.BLANKS + marks))
+
+    def typed(text):
+        text = re.sub(decontamination.NAMES, rf"\g<1>{decontamination.NAME}", text.strip(decontamination.BLANKS + decontamination.MARKS)).lower()
+        text = re.sub(decontamination.NUMBERS, decontamination.NUMBER, text)
+        return cut(re.sub(decontamination.UNITS_AFTER, rf"\g<1>{decontamination.UNIT}\g<3>", text))
+
+    def plain(text):
+        return [str(decontamination.NUMBER_WORDS.get(w, w)) for w in cut(text.lower())]
+
+    def grams(words, n):
+        return [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+
+    found = set()
+    for item_id, item in items:
+        ways = []
+        own = grams(typed(item), size)
+        own = {k: g for k, g in enumerate(own) if sum(not re.search(decontamination.PLACEHOLDER, w) for w in g) >= literal}
+        ways.append((own, typed, size))
+        n = min(size, len(plain(item)))
+        if n >= 3:
+            ways.append((dict(enumerate(grams(plain(item), n))), plain, n))
+        for doc_id, text in docs:
+            for own, words, n in ways:
+                bands = defaultdict(set)
+                for at, gram in enumerate(grams(words(text), n)):
+                    for k, g in own.items():
+                        if g == gram:
+                            bands[0, (at - k) // (2 * slack)].add(k)
+                            bands[1, (at - k + slack) // (2 * slack)].add(k)
+                if own and max(map(len, bands.values()), default=0) >= 0.8 * len(own):
+                    found.add((doc_id, item_id))
+    return found
+
+
+def test_decontamination_is_brute_force(spark):
+    draw = random.Random(8)
+    vocabulary = [*WORDS[:12], "Anna", "Otto Lind", "12", "seven", "7 km", "one", "3,5", "(x)", "end."]
+    items = [(k, " ".join(draw.choices(vocabulary, k=draw.choice([2, 3, 4, 5, 8, 14, 25])))) for k in range(60)]
+    docs = []
+    for k in range(150):
+        words = draw.choices(vocabulary, k=draw.randint(0, 60))
+        part = draw.choice(items)[1].split(" ")
+        for at in draw.sample(range(len(part)), draw.choice([0, 0, 1, 2]) % (len(part) + 1)):
+            part[at] = draw.choice(vocabulary)
+        text = " ".join([*words[:20], *part, *words[20:]])
+        docs.append((k, draw.choice([text, text, text.lower(), text.upper()])))
+    found = decontamination.leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), min_consistent=0.0
+    )
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 100
+
+
+def test_passages_of_several_texts_under_one_id(spark):
+    words = prose(21, 300)
+    shared, other = " ".join(words[:80]), "a " + " ".join(words[100:150])
+    rows = [(1, shared), (2, other), (2, "x " + shared), (2, "x " + shared), (2, other + " b"), (3, None)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.other_id, r.start, r.end, r.n_equal) for r in found] == [(2, 1, 1, 81, 80)]
+
+
 def test_neighbours_recall_and_order(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(3000, 16)).astype(np.float32)
@@ -430,6 +513,43 @@ def test_pipeline_is_its_stages_by_hand(spark, folder):
     assert all(r.round_trip and r.n_tokens == len(coder.encode_ordinary(cut[i])) for i, r in got.items())
 
 
+def test_pipeline_of_edge_rows(spark, folder):
+    """Null ids and texts, empty texts, repeated rows, very long texts; and tables without rows."""
+    import corpus_pipeline as pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    good = docs.where("n_chars BETWEEN 1500 AND 3000").orderBy("doc_id").first().text
+    odd = [(None, good + " own words"), (None, None), (900_001, None), (900_002, ""), (900_003, good), (900_003, good), (900_004, LONG)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    for name, table in (("full", docs.unionByName(rows)), ("empty", docs.limit(0))):
+        table.write.parquet(f"{folder}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            known = spark.read.parquet(f"{source}/{other}.parquet")
+            (known if name == "full" else known.limit(0)).write.parquet(f"{folder}/{name}/{other}.parquet")
+    found = pipeline.run(spark, f"{folder}/full").collect()
+    plain = {r.doc_id for r in pipeline.run(spark, source).collect()}
+    assert all(r.round_trip for r in found)
+    got = [r.doc_id for r in found]
+    assert len(plain - set(got)) <= 1 and set(got) <= plain | {None, *range(900_001, 900_005)}
+    # the copies of a kept text are one class with it, so none of them stays
+    assert 900_003 not in got
+    assert pipeline.run(spark, f"{folder}/empty").count() == 0
+
+
+def test_two_runs_leave_each_others_folders_alone(spark):
+    from opsrisk.llm.common import noted, stored
+
+    mine, others = [], []
+    with noted(mine):
+        stored(spark.range(1), "a")
+        with noted(others):
+            stored(spark.range(1), "b")
+        stored(spark.range(1), "c")
+    stored(spark.range(1), "d")
+    assert [len(mine), len(others)] == [2, 1] and not set(mine) & set(others)
+
+
 def test_shards_of_the_oracle(spark):
     """The SQL of the registered query, with a limit that makes the small table split."""
     import duckdb
