@@ -20,6 +20,9 @@ from opsrisk.session import checkpointed
 
 CELL_KEYS = ["carrier", "airport", "year", "month"]
 
+#: Rows that make a task of boosting worth its while.
+ROWS_PER_TASK = 10_000
+
 _MODEL_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
 
 
@@ -75,9 +78,14 @@ def score(requests: DataFrame, model: PipelineModel, model_version: str = MODEL_
 def learning_rows(
     featured: DataFrame, threshold: float = DELAY_LABEL_THRESHOLD, test_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Feature rows with label and split, computed once as boosting reads them many times."""
+    """Feature rows with label and split, computed once as boosting reads them many times.
+
+    Boosting runs a job per level of each tree, so rows are held in no more
+    partitions than they fill: on small tables the tasks cost more than the work.
+    """
     rows = with_split(with_label(featured, threshold), CELL_KEYS, test_fraction, seed)
-    return checkpointed(rows.select(*CELL_KEYS[:2], *MODEL_FEATURES, LABEL, "is_train"))
+    kept = checkpointed(rows.select(*CELL_KEYS[:2], *MODEL_FEATURES, LABEL, "is_train"))
+    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_TASK)))
 
 
 def fit(rows: DataFrame, settings: BoostingSettings = BoostingSettings()) -> PipelineModel:
