@@ -92,8 +92,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(``node``, ``shingles``) of the wanted rows (``node``, ``doc_id``, ``text_hash``), written.
 
-    ``wanted`` is a written table: Spark knows its size and sends it to the texts
-    if it is small, instead of moving the texts.
+    Texts and wanted rows meet by a sort-merge join at every size.
     """
     fields = schema_of("node bigint, shingles binary")
 
@@ -106,7 +105,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     rows, ids = _named(docs), wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))
-    found = stored(rows.join(ids, same).select("node", "text").mapInArrow(run, fields), "near-sets")
+    found = stored(rows.join(ids.hint("merge"), same).select("node", "text").mapInArrow(run, fields), "near-sets")
     if found.count() == wanted.count():
         return found
     # equal rows were found for one node
@@ -118,7 +117,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sketches don't rule them out, by the share of values that agree."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    both = pairs.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v")
     fields = schema_of("u bigint, v bigint")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +149,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch_of(fields, [batch.column(k).filter(pa.array(links, pa.bool_())) for k in (0, 1)])
 
-    both = near.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set")
+    both = near.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("u", "v", "u_set", "v_set")
     links = stored(both.mapInArrow(run, fields), "near-links")
     dropped(near, wanted, full)
     return links
 
 
 def _full(full: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted nodes."""
-    return full.join(wanted, "node", "left_semi")
+    """The sets of the wanted nodes. This join and others of sets or sketches are sort-merge joins at every size."""
+    return full.join(wanted.hint("merge"), "node", "left_semi")
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
