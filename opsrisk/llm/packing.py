@@ -20,8 +20,9 @@ from opsrisk.llm.piece_codes import chunks, codes, with_end
 BATCH, COLUMNS = 16, 4000
 #: How fast a length's price falls with its coverage, and how far ahead of the others it may be covered at all.
 RATE, AHEAD = 5.0, 0.5
-#: Share of the program's sequences that are rounded from its columns. What is left has all lengths, so it packs well.
-ROUNDED = 0.6
+#: Shares of the program's sequences that are rounded from its columns: the one that gives fewest sequences is taken. What
+#: is left has all lengths, so it packs well.
+ROUNDED = (0.8, 0.6, 0.4, 0.2)
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -131,27 +132,35 @@ def packed_plan(counts: np.ndarray, size: int) -> Plan:
     """Sequences of at most ``size`` for ``counts[length]`` pieces of each length, rounded from the linear program.
 
     The fullest configurations are rounded up and taken first, others down, up to
-    ``ROUNDED`` of the program's sequences and never more than there are pieces
-    for. What is left goes best-fit, longest first.
+    a share of the program's sequences and never more than there are pieces for.
+    What is left goes best-fit, longest first. Of the shares in ``ROUNDED`` the
+    best one counts.
     """
-    left, plan = counts.astype(np.int64), Plan(size)
-    if left[size]:
-        plan.add(((size, 1),), int(left[size]))
-        left[size] = 0
-    if left.any():
-        columns = fractional(left, size)
-        filled = {column: sum(length * each for length, each in column) for column in columns}
-        wanted = ROUNDED * sum(columns.values())
-        for column, x in sorted(columns.items(), key=lambda one: (-filled[one[0]], -one[1], one[0])):
-            if wanted <= 0:
-                break
-            most = int(np.ceil(x)) if filled[column] == size else int(x)
-            copies = min(most, *(int(left[length]) // each for length, each in column))
-            if copies:
-                plan.add(column, copies)
-                wanted -= copies
-                for length, each in column:
-                    left[length] -= each * copies
+    counts = counts.astype(np.int64)
+    whole = int(counts[size])
+    counts[size] = 0
+    columns = fractional(counts, size) if counts.any() else {}
+    plans = [_rounded(counts, size, columns, share) for share in (ROUNDED if columns else (0.0,))]
+    plan = min(plans, key=lambda one: one.sequences)
+    if whole:
+        plan.add(((size, 1),), whole)
+    return plan
+
+
+def _rounded(counts: np.ndarray, size: int, columns: dict[Configuration, float], share: float) -> Plan:
+    left, plan = counts.copy(), Plan(size)
+    filled = {column: sum(length * each for length, each in column) for column in columns}
+    wanted = share * sum(columns.values())
+    for column, x in sorted(columns.items(), key=lambda one: (-filled[one[0]], -one[1], one[0])):
+        if wanted <= 0:
+            break
+        most = int(np.ceil(x)) if filled[column] == size else int(x)
+        copies = min(most, *(int(left[length]) // each for length, each in column))
+        if copies:
+            plan.add(column, copies)
+            wanted -= copies
+            for length, each in column:
+                left[length] -= each * copies
     _best_fit(left, plan)
     return plan
 
