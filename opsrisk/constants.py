@@ -86,3 +86,14 @@ RESPONSE_NAMES = {
     "created_at": "predictedAt",
     "id": "historyId",
 }
+
+# --- fixed values: texts of the alerts, filled by functions.display ----------------
+CAPACITY_TEXT = "HIGH TRAFFIC ALERT: {day} forecast {footfall} passengers (exceeds {limit} capacity threshold)"
+RISK_SCAN_TEXT = (
+    "{count} high-risk delay predictions detected in the last {hours} hours "
+    "(probability >= {percent}%). Immediate review recommended."
+)
+MONITORING_TEXT = (
+    "AUTOMATED ALERT — Continuous monitoring detected HIGH DELAY RISK for {month}/{year}: "
+    "probability={percent}%. Consider proactive gate reallocation."
+)

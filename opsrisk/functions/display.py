@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opsrisk.constants import BADGE_NOMINAL, BADGE_RISK, STATUS_NOMINAL, STATUS_RISK
+from opsrisk.constants import BADGE_NOMINAL, BADGE_RISK, CAPACITY_TEXT, MONITORING_TEXT, RISK_SCAN_TEXT, STATUS_NOMINAL, STATUS_RISK
 
 
 def status_of(prediction: Column) -> Column:
@@ -40,33 +42,23 @@ def chart_date(day: Column) -> Column:
     return F.concat_ws("/", F.month(day).cast("string"), F.dayofmonth(day).cast("string"))
 
 
+def filled(text: str, **values: Column | str) -> Column:
+    """A text with its ``{places}`` filled; null if a value is null."""
+    parts = [
+        part if isinstance(part, Column) else F.lit(part)
+        for before, name, *_ in Formatter().parse(text)
+        for part in ([before] if name is None else [before, values[name]])
+    ]
+    return F.concat(*parts)
+
+
 def capacity_message(day: Column, footfall: Column, limit: int) -> Column:
-    return F.concat(
-        F.lit("HIGH TRAFFIC ALERT: "),
-        day.cast("string"),
-        F.lit(" forecast "),
-        F.format_number(footfall, 0),
-        F.lit(f" passengers (exceeds {limit:,} capacity threshold)"),
-    )
+    return filled(CAPACITY_TEXT, day=day.cast("string"), footfall=F.format_number(footfall, 0), limit=f"{limit:,}")
 
 
 def risk_scan_message(count: Column, probability: float, hours: int = 24) -> Column:
-    return F.concat(
-        count.cast("string"),
-        F.lit(
-            f" high-risk delay predictions detected in the last {hours} hours "
-            f"(probability >= {int(probability * 100)}%). Immediate review recommended."
-        ),
-    )
+    return filled(RISK_SCAN_TEXT, count=count.cast("string"), hours=str(hours), percent=str(int(probability * 100)))
 
 
 def monitoring_message(label: Column, year: Column, probability: Column) -> Column:
-    return F.concat(
-        F.lit("AUTOMATED ALERT — Continuous monitoring detected HIGH DELAY RISK for "),
-        label,
-        F.lit("/"),
-        year.cast("string"),
-        F.lit(": probability="),
-        percent_text(probability),
-        F.lit("%. Consider proactive gate reallocation."),
-    )
+    return filled(MONITORING_TEXT, month=label, year=year.cast("string"), percent=percent_text(probability))
