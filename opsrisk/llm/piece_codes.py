@@ -29,7 +29,7 @@ class Codes:
     """
 
     #: Words remembered, and words joined to one text for the library.
-    LIMIT, JOINED = 700_000, 1000
+    LIMIT, JOINED = 500_000, 1000
 
     def __init__(self, path: str, added: bool = True):
         """With ``added`` the strings of added tokens in a text give the ids of these, as the library does; else they are ordinary text."""
@@ -157,7 +157,7 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
     return flat, sizes
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` again, in batches of a bounded number of bytes of a text column, one row at least."""
     held: list[pa.RecordBatch] = []
     size = 0
