@@ -48,11 +48,12 @@ NUMBER_WORDS = dict(
 #: Items of fewer words than this occur everywhere and say nothing.
 LEAST_WORDS = 3
 
-# Patterns that Java and RE2 read alike. A word has its capital from its place if a sentence ends before it; capitals
-# and small letters are those of the Latin-1 alphabet.
+# A word has its capital from its place if a sentence ends before it; capitals and small letters are those of the
+# Latin-1 alphabet. Repeated groups are possessive: Java repeats others by recursion, and a text with thousands of
+# names or numbers in a row overflows the stack, which ends the executor.
 _PROPER = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
-NAMES = rf"([^.!?: \t\n\x0B\f\r]{_BLANK}+)({_PROPER}(?:{_BLANK}{_PROPER})*)"
-NUMBERS = r"[0-9]+(?:[.,:/][0-9]+)*"
+NAMES = rf"([^.!?: \t\n\x0B\f\r]{_BLANK}+)({_PROPER}(?:{_BLANK}{_PROPER})*+)"
+NUMBERS = r"[0-9]+(?:[.,:/][0-9]+)*+"
 UNITS_AFTER = rf"({NUMBER}{_BLANK}?)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})($|[^a-zß-öø-ÿ0-9])"
 
 
@@ -208,27 +209,42 @@ def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, matches: DataFra
     )
 
     def values(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
-        """The texts that the placeholders of a word stand for: the n-th placeholder of a kind is the n-th match."""
+        """The texts that the placeholders of a word stand for: the n-th placeholder of a kind is the n-th match.
+
+        Words and matches go in rows of their own: a word that took all matches of
+        its text along would make the square of a long text's names.
+        """
         text = _text()
         named = F.lower(F.regexp_replace(text, NAMES, f"$1{NAME}"))
         counted = F.regexp_replace(named, NUMBERS, NUMBER)
-        wanted = rows.distinct().join(found.select(key).distinct(), key, "left_semi")
-        matched = with_words(wanted.withColumn("_of", F.xxhash64("text"))).select(
-            key,
-            "_of",
-            # the outer form, as above
-            F.posexplode_outer("_words").alias(at, "_word"),
-            F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)).alias("names"),
-            F.regexp_extract_all(named, F.lit(NUMBERS), F.lit(0)).alias("numbers"),
-            F.regexp_extract_all(counted, F.lit(UNITS_AFTER), F.lit(2)).alias("units"),
+        matches = {
+            NAME: F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)),
+            NUMBER: F.regexp_extract_all(named, F.lit(NUMBERS), F.lit(0)),
+            UNIT: F.regexp_extract_all(counted, F.lit(UNITS_AFTER), F.lit(2)),
+        }
+
+        def numbered(of: Column, kind: str) -> Column:
+            return F.transform(of, lambda x, n: F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("n"), x.alias("value")))
+
+        # the join first: behind distinct() Spark leaves it, unless it is broadcast, and all texts are shuffled whole
+        wanted = rows.join(found.select(key).distinct(), key, "left_semi").distinct().withColumn("_of", F.xxhash64("text"))
+        parts = F.concat(numbered(F.col("_words"), ""), *(numbered(of, kind) for kind, of in matches.items()))
+        # the outer form, as above
+        every = with_words(wanted).select(key, "_of", F.explode_outer(parts).alias("_part")).select(key, "_of", "_part.*")
+        every = stored(every.where((F.col("kind") != "") | F.col("value").rlike(PLACEHOLDER)), "benchmark-values")
+        own = F.array(*(F.struct(F.lit(k).alias("kind"), F.length("value") - F.length(F.replace("value", F.lit(k), F.lit("")))) for k in matches))
+        marked = (
+            every.where("kind = ''").select(key, "_of", F.col("n").alias(at), F.explode(own).alias("_own"))
+            .select(key, "_of", at, F.col("_own.kind").alias("kind"), F.col("_own.col2").alias("_many")).where("_many > 0")
+        )
+        before = Window.partitionBy(key, "_of", "kind").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        ends = marked.withColumn("_end", F.sum("_many").over(before))
+        places = ends.select(key, "_of", at, "kind", F.explode(F.sequence(F.col("_end") - F.col("_many"), F.col("_end") - 1)).alias("n"))
+        rank = F.when(F.col("kind") == NAME, 0).when(F.col("kind") == NUMBER, 1).otherwise(2)
+        said = places.join(every.where("kind <> ''"), [key, "_of", "kind", "n"], "left").groupBy(key, "_of", at).agg(
+            F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "n", "value"))).alias("_said")
         )
-        before = Window.partitionBy(key, "_of").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-        out = matched.where(F.col("_word").rlike(PLACEHOLDER))
-        kinds = {"names": NAME, "numbers": NUMBER, "units": UNIT}
-        for kind, mark in kinds.items():
-            own = F.length("_word") - F.length(F.replace("_word", F.lit(mark), F.lit("")))
-            out = out.withColumn(kind, F.slice(kind, F.sum(own).over(before) - own + 1, own))
-        return out.select(key, at, F.lower(F.concat_ws(" ", *kinds)).alias(value))
+        return said.select(key, at, F.lower(F.concat_ws(" ", "_said.value")).alias(value))
 
     pairs = (
         covered.join(values(items, "item_id", "item_at", "_theirs"), ["item_id", "item_at"])

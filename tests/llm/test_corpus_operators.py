@@ -393,6 +393,15 @@ def test_decontamination_is_brute_force(spark):
     assert got == brute_leaks(docs, items) and len(got) > 100
 
 
+def test_decontamination_of_many_names_and_numbers_in_a_row(spark):
+    item = "the train leaves Berlin Central at 7 and goes 120 miles in 3 hours what is its mean speed on this long way"
+    long = ["He saw " + "Anna Maria " * 20_000, "a " + ",".join(["1"] * 20_000), " ".join(f"b{k} Name {k} miles" for k in range(4000)), "He saw"]
+    docs = spark.createDataFrame([(k, f"{text} {item.replace('120', '140')}") for k, text in enumerate(long)], "doc_id bigint, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    got = {r.doc_id: (r.n_found, r.n_windows, r.n_slots, r.n_consistent) for r in found}
+    assert set(got) == {0, 1, 2, 3} and len(set(got.values())) == 1 and got[3][2] > 0
+
+
 def test_passages_of_several_texts_under_one_id(spark):
     words = prose(21, 300)
     shared, other = " ".join(words[:80]), "a " + " ".join(words[100:150])
