@@ -31,9 +31,13 @@ class Codes:
     #: Words remembered, and words joined to one text for the library.
     LIMIT, JOINED = 500_000, 1000
 
-    def __init__(self, path: str, added: bool = True):
-        """With ``added`` the strings of added tokens in a text give the ids of these, as the library does; else they are ordinary text."""
+    def __init__(self, path: str, added: bool = True, limit: int = LIMIT):
+        """With ``added`` the strings of added tokens in a text give the ids of these, as the library does; else they are ordinary text.
+
+        Up to ``limit`` words are remembered.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added
         size = self.tokenizer.get_vocab_size()
@@ -88,7 +92,7 @@ class Codes:
         known = self.known.get
         numbers = np.fromiter((known(w, -1) for w in distinct), np.int64, len(distinct))
         new = np.flatnonzero(numbers < 0)
-        if len(self.known) + len(new) > self.LIMIT and self.known:
+        if len(self.known) + len(new) > self.limit and self.known:
             self._forget()
             new = np.arange(len(distinct))
         unseen = [distinct[k] for k in new.tolist()]
@@ -142,9 +146,9 @@ class Codes:
 
 
 @lru_cache(maxsize=2)
-def codes(path: str, added: bool = True) -> Codes:
+def codes(path: str, added: bool = True, limit: int = Codes.LIMIT) -> Codes:
     """The coder of a vocabulary file, built once per Python worker."""
-    return Codes(path, added)
+    return Codes(path, added, limit)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,8 @@ from opsrisk.llm.piece_codes import chunks, codes, with_end
 
 #: Stands for a null doc_id in the files.
 NO_ID = -(2**63)
+#: Words a Python worker remembers, about 200 MB: with half as many it has twice as many to learn again.
+REMEMBERED = 1_000_000
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -78,7 +80,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, a
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         file = f"{folder}/ids-{part:06d}-{uuid4().hex}.bin"
-        coder, out, place = codes(tokenizer, added), None, 0
+        coder, out, place = codes(tokenizer, added, REMEMBERED), None, 0
         for batch in chunks(batches, 1):
             if out is None:
                 store, path = opened(file)

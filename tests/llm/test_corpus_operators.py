@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -21,6 +22,7 @@ from opsrisk.llm import (
     near_dedup,
     neighbours,
     passages,
+    piece_codes,
     quality,
     queries,
     sharding,
@@ -188,6 +190,19 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
 
 
+def test_remembered_words_are_learned_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [pa.array([f"w{k} w{k + 1}, again" for k in range(at, at + 50)]) for at in (0, 50, 0)]
+    learned, ids = {}, {}
+    for limit in (60, 1000):
+        coder = piece_codes.Codes(path, limit=limit)
+        seen, learn = [], coder._learn
+        coder._learn = lambda words, seen=seen, learn=learn: (seen.extend(words), learn(words))  # noqa: B023
+        ids[limit] = [coder.encode(text)[0].tolist() for text in texts]
+        learned[limit] = len(seen) - len(set(seen))
+    assert ids[60] == ids[1000] and learned[1000] == 0 < learned[60]
+
+
 def test_passages(spark, edges, empty):
     shared, other = prose(1, 80), prose(2, 60)
     changed = [w if k % 19 else "changed" for k, w in enumerate(shared)]
