@@ -29,6 +29,7 @@ from opsrisk.llm import (
     token_files,
     toxicity,
 )
+from opsrisk.llm.common import CLEANED, schema_of, stored_alone
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "ra", "lo", "mi", "s")]
@@ -224,6 +225,32 @@ def test_passages(spark, edges, empty):
     assert passages.passages(edges).count() == 0
 
 
+def test_packed_seeds_are_read_back_and_small():
+    fields = schema_of("bucket int, hash binary, doc_id binary, place binary")
+    draw = np.random.default_rng(3)
+    for low, high in ((10**12, 10**12 + 50_000), (-(2**63), 2**63 - 1), (7, 8)):
+        hashes = draw.integers(0, 2**64 - 1, 3000, np.uint64, endpoint=True)
+        docs, places = draw.integers(low, high, 3000, np.int64, endpoint=True), np.arange(3000, dtype=np.int32)
+        dealt = (hashes % np.uint64(5)).astype(np.int64)
+        batch = passages._dealt(fields, dealt, [hashes, docs, places])
+        got = list(passages._buckets([batch], ["<u8", "<i8", "<i4"]))
+        order = np.argsort(dealt, kind="stable")
+        for k, column in enumerate((hashes, docs, places)):
+            read = np.concatenate([one[k] for one in got])
+            assert read.dtype == column.dtype and (read == column[order]).all()
+    assert sum(len(x) for column in batch.columns[1:] for x in column.to_pylist()) < 3000 * 12  # eight, one and two bytes a seed
+    assert next(iter(passages._buckets([passages._dealt(fields, dealt[:0], [hashes[:0], docs[:0], places[:0]])], ["<u8"])), None) is None
+
+
+def test_shuffles_of_a_table_stored_alone_are_removed(spark):
+    def written():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before, had = spark.conf.get(CLEANED, None), written()
+    found = stored_alone(spark.range(1000).repartition(7, "id"), "alone")
+    assert written() <= had and found.count() == 1000 and spark.conf.get(CLEANED, None) == before
+
+
 def test_two_passages_of_one_pair(spark):
     rows, want = [], {}
     for k, own in enumerate((40, 60, 100)):
