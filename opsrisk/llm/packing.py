@@ -253,29 +253,26 @@ def packed(df: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     counts = np.zeros(size + 1, np.int64)
     for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row["length"]] = row["n"]
-    slots = packed_plan(counts, size).slots()
-    firsts = np.cumsum(counts) - counts
-    plan = df.sparkSession.sparkContext.broadcast((slots, firsts))
+    plan = df.sparkSession.createDataFrame(_runs(counts, size))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    fields = schema_of("doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
+    # the bases are joined without a hint: Spark broadcasts them by their size, or shuffles
+    numbered = pieces.join(bases, ["part", "length"]).withColumn("number", F.expr("base + place"))
+    # the ids stay in the JVM: there is no memory for more Python workers beside those that remember words
+    return numbered.join(F.broadcast(plan), "length").where("number >= first AND number < last").selectExpr(
+        *["doc_id", "piece", "start", "length", "ids"],
+        "sequence + (number - first) DIV each AS sequence_id",
+        "at + (number - first) % each * length AS offset",
+    )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, firsts = plan.value
-        for batch in batches:
-            if batch.num_rows:
-                length = batch.column("length").to_numpy()
-                number = firsts[length] + batch.column("base").to_numpy() + batch.column("place").to_numpy()
-                at = np.searchsorted(slots["first"], number, "right") - 1
-                copy, turn = np.divmod(number - slots["first"][at], slots["each"][at])
-                yield batch_of(
-                    fields,
-                    [*(batch.column(name) for name in fields.names[:5]),
-                     slots["sequence"][at] + copy, slots["offset"][at] + turn * length],
-                )
 
-    # the bases are joined without a hint: Spark broadcasts them by their size, or shuffles
-    return pieces.join(bases, ["part", "length"]).mapInArrow(run, fields)
+def _runs(counts: np.ndarray, size: int) -> pa.Table:
+    """The runs of slots of the plan for ``counts``; ``first`` and ``last`` (the one after) are counted within their length."""
+    slots = packed_plan(counts, size).slots()
+    before = (np.cumsum(counts) - counts)[slots["length"]]
+    last = np.append(slots["first"][1:], counts.sum())[: len(before)]
+    found = {"length": slots["length"], "first": slots["first"] - before, "last": last - before}
+    return pa.table(found | {"each": slots["each"], "at": slots["offset"], "sequence": slots["sequence"]})
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ class Codes:
     with; the ids are cut again before each token that begins with it.
     """
 
-    #: Words remembered, and words joined to one text for the library.
-    LIMIT, JOINED = 500_000, 1000
+    #: Words remembered, words joined to one text for the library, and words whose ids are gathered at a time.
+    LIMIT, JOINED, GATHERED = 500_000, 1000, 1 << 16
 
     def __init__(self, path: str, added: bool = True, limit: int = LIMIT):
         """With ``added`` the strings of added tokens in a text give the ids of these, as the library does; else they are ordinary text.
@@ -100,6 +100,16 @@ class Codes:
         numbers[new] = np.fromiter(map(self.known.__getitem__, unseen), np.int64, len(new))
         return numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of learned words in a row, and where each word's begin; some words at a time, as a place takes more room than an id."""
+        ends = np.append(0, np.cumsum(self.sizes[numbers]))
+        ids = np.empty(ends[-1], self.kind)
+        for at in range(0, len(numbers), self.GATHERED):
+            some = numbers[at : at + self.GATHERED]
+            firsts, low, high = ends[at : at + len(some)], ends[at], ends[at + len(some)]
+            ids[low:high] = self.flat[np.repeat(self.starts[some] - firsts, self.sizes[some]) + np.arange(low, high)]
+        return ids, ends
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (with one more place for the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -107,9 +117,7 @@ class Codes:
         marked = pc.binary_join_element_wise(pa.scalar(_FIRST, pa.large_string()), texts.filter(plain), pa.scalar("", pa.large_string()))
         words = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
         numbers = self._coded(words.flatten())
-        sizes = self.sizes[numbers]
-        ends = np.append(0, np.cumsum(sizes))
-        ids = self.flat[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids, ends = self._gathered(numbers)
         bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
         if len(bounds) == len(texts) + 1:
             return ids, bounds

@@ -289,3 +289,22 @@ def test_no_vectors(spark):
     assert negatives.mined(df).collect() == []
     one = spark.createDataFrame([(100, [1.0], 1)], "vec_id bigint, embedding array<float>, label int")
     assert negatives.mined(one).collect() == []
+
+
+def test_ids_of_words_are_gathered_some_at_a_time(monkeypatch):
+    """However few words at a time, the ids are the library's."""
+    monkeypatch.setattr(piece_codes.Codes, "GATHERED", 3)
+    texts = ["one two three four five six seven eight", "", "a\nbb ccc", None, "x  y\tz", "one"]
+    ids, bounds = piece_codes.Codes(TOKENIZER).encode(pa.array(texts))
+    library = Tokenizer.from_file(TOKENIZER)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_packed_pieces_pass_no_python_worker_on_their_way_to_a_sequence(spark):
+    """Slots are found by joins; the digests that follow are the only Python of their tasks."""
+    df = spark.createDataFrame([(k, "word " * (k % 7)) for k in range(40)], "doc_id long, text string")
+    pieces = packing.packed(df, TOKENIZER, end_id=0, size=16)
+    assert "MapInArrow" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert packing.digests(pieces)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert pieces.selectExpr("sum(length)").first()[0] == packing.digests(pieces).selectExpr("sum(length)").first()[0]
