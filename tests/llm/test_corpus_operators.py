@@ -613,3 +613,14 @@ def test_shards_of_the_oracle(spark):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{source}'")
     want = db.execute(f"SELECT doc_id, shard, shard_bytes, shard_docs FROM ({sharding_sql(30_000)})").fetchall()
     assert sorted(map(tuple, rows)) == sorted(want) and len({r.shard for r in rows}) > 50
+
+
+def test_pipeline_decodes_ids_that_are_written(spark):
+    """No task of the last stage holds two Python workers, one that encodes and one that decodes."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "one two", "en", "a", 7), (2, None, "en", "a", 0)], ", ".join(f"{c} {k}" for c, k in zip(
+        pipeline.COLUMNS, ["long", "string", "string", "string", "long"], strict=True)))
+    found = pipeline.encoded(spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.round_trip, r.n_tokens > 0) for r in found.collect()) == [(1, True, True), (2, True, False)]
